@@ -7,9 +7,9 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,17 +17,50 @@ from opswatch.schemas import EMBEDDING_DIM
 
 VECTOR = T.ArrayType(T.FloatType())
 
+# The default encoder: sizes of the byte pieces, the hash factor, and the bytes hashed at a time.
+PIECES = (3, 4)
+FACTOR = 2_654_435_761
+_SPAN = 1 << 20
 
-def text_tokens(text: Column) -> Column:
-    """Lower-cased words and the three-letter pieces of each padded word."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-    def pieces(word: Column) -> Column:
-        padded = F.concat(F.lit("<"), word, F.lit(">"))
-        starts = F.sequence(F.lit(1), F.length(padded) - 2)
-        return F.transform(starts, lambda i: padded.substr(i, F.lit(3)))
+def hashed_pieces(texts: pa.Array, dim: int) -> np.ndarray:
+    """Signed counts of the hashed byte pieces of each lower-cased text, at unit length.
 
-    return F.concat(words, F.flatten(F.transform(words, pieces)))
+    A whole Arrow batch is one byte buffer, hashed a span at a time: memory is bounded by the span
+    and the result, whatever the length of a text. A null text counts as empty.
+    """
+    rows = len(texts)
+    if not rows:
+        return np.empty((0, dim))
+    kind = pa.large_string()
+    lower = pc.utf8_lower(texts.cast(kind).fill_null(""))
+    edges = [pa.scalar(c, kind) for c in ("<", ">", "")]
+    padded = pc.binary_join_element_wise(edges[0], lower, edges[1], edges[2])
+    ends = np.cumsum(np.asarray(pc.binary_length(padded)).astype(np.int64))
+    data = np.frombuffer(padded.buffers()[2], np.uint8)[: ends[-1]]
+    counts = np.zeros(rows * dim)
+    for start in range(0, len(data), _SPAN):
+        stop = min(start + _SPAN, len(data))
+        at = np.arange(start, stop)
+        row = np.searchsorted(ends, at, side="right")
+        for size in PIECES:
+            good = at + size <= ends[row]
+            first, owner = at[good], row[good]
+            if not len(first):
+                continue
+            value = np.zeros(len(first), np.uint64)
+            for i in range(size):
+                value = value * np.uint64(256) + data[first + i]
+            h = (value * np.uint64(FACTOR)) >> np.uint64(7)
+            slot = ((h >> np.uint64(1)) % np.uint64(dim)).astype(np.int64)
+            sign = np.where(h & np.uint64(1), 1.0, -1.0)
+            low = owner[0]
+            width = (owner[-1] - low + 1) * dim
+            found = np.bincount((owner - low) * dim + slot, weights=sign, minlength=width)
+            counts[low * dim : low * dim + width] += found
+    vectors = counts.reshape(rows, dim)
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(lengths > 0, lengths, 1.0)
 
 
 def encode(
@@ -39,20 +72,24 @@ def encode(
 ) -> DataFrame:
     """Add a vector of the whole text; a text that cannot be encoded gets an empty one.
 
-    The default hashes words and word pieces into ``dim`` unit-length counts inside the JVM.
-    ``encoder`` plugs in a model instead: a picklable function, called once per Python worker,
-    that returns an object with ``encode(list of texts) -> rows of numbers``.
+    The default is ``hashed_pieces``. ``encoder`` plugs in a model instead: a picklable function,
+    called once per Python worker, that returns an object with
+    ``encode(list of texts) -> rows of numbers``.
     """
-    if encoder is not None:
-        return df.withColumn(out, _plugged(encoder)(F.col(col)))
-    tokens, counts, unit = "__tokens", "__counts", "__unit"
-    rows = df.withColumn(tokens, F.coalesce(text_tokens(F.col(col)), F.array().cast("array<string>")))
-    rows = HashingTF(numFeatures=dim, inputCol=tokens, outputCol=counts).transform(rows)
-    rows = Normalizer(p=2.0, inputCol=counts, outputCol=unit).transform(rows)
-    vector = vector_to_array(unit, "float32")
-    return rows.withColumn(
-        out, F.when(F.col(col).isNotNull(), vector).otherwise(F.array().cast(VECTOR))
-    ).drop(tokens, counts, unit)
+    run = _hashed(dim) if encoder is None else _plugged(encoder)
+    return df.withColumn(out, run(F.col(col)))
+
+
+def _hashed(dim: int):
+    def run(texts: pa.Array) -> pa.Array:
+        vectors = hashed_pieces(texts, dim).astype(np.float32)
+        there = np.asarray(texts.is_valid())
+        sizes = np.where(there, dim, 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, vectors[there].ravel())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, VECTOR)
 
 
 def _plugged(factory: Callable[[], Any]):
