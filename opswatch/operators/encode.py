@@ -42,7 +42,7 @@ def hashed_pieces(texts: pa.Array, dim: int) -> np.ndarray:
     for start in range(0, len(data), _SPAN):
         stop = min(start + _SPAN, len(data))
         at = np.arange(start, stop)
-        row = np.searchsorted(ends, at, side="right")
+        row = np.repeat(np.arange(rows), _overlap(ends, start, stop))
         for size in PIECES:
             good = at + size <= ends[row]
             first, owner = at[good], row[good]
@@ -63,6 +63,11 @@ def hashed_pieces(texts: pa.Array, dim: int) -> np.ndarray:
     return vectors / np.where(lengths > 0, lengths, 1.0)
 
 
+def _overlap(ends: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """How many bytes of the span belong to each row."""
+    return np.diff(np.clip(np.concatenate([[0], ends]), start, stop))
+
+
 def encode(
     df: DataFrame,
     col: str = "semantic_text",

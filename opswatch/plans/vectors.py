@@ -149,7 +149,8 @@ def encoded_documents(spark, sf_dir):
     """Vectors of the whole documents; numbers that are zero are left out."""
     rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     numbers = rows.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
-    return numbers.where(F.col("x") != 0).select("doc_id", "dim", F.round("x", 4).alias("x"))
+    scaled = F.floor(F.col("x").cast("double") * 10_000)
+    return numbers.where(F.col("x") != 0).select("doc_id", "dim", scaled.alias("x"))
 
 
 def _event_rows(spark, sf_dir):
@@ -260,15 +261,20 @@ SELECT vec_id, dim, round((x - mean) / scale, 6) AS z FROM v JOIN f USING (dim)"
     "cosine_topk": _TOPK,
     "cosine_topk_blocked": _TOPK,
     "encode": f"""WITH b AS (
-  SELECT doc_id, hex(encode('<' || lower(text) || '>')) AS hx FROM documents),
-g AS (SELECT doc_id, n, hx, unnest(range(1, length(hx) // 2 - n + 2)) AS i
-      FROM b CROSS JOIN (SELECT unnest([3, 4]) AS n)),
-h AS (SELECT doc_id,
-        (('0x' || substr(hx, 2 * i - 1, 2 * n))::UBIGINT * {FACTOR}::UBIGINT) >> 7 AS h FROM g),
-s AS (SELECT doc_id, CAST((h >> 1) % {schemas.EMBEDDING_DIM} AS INT) AS dim,
-        sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2),
+  SELECT doc_id, regexp_extract_all(hex(encode('<' || lower(text) || '>')), '..') AS bytes
+  FROM documents),
+u AS (SELECT doc_id, generate_subscripts(bytes, 1) AS i,
+             ('0x' || unnest(bytes))::UBIGINT AS b0 FROM b),
+w AS (SELECT doc_id, b0, lead(b0, 1) OVER w AS b1, lead(b0, 2) OVER w AS b2, lead(b0, 3) OVER w AS b3
+      FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, (b0 * 256 + b1) * 256 + b2 AS v FROM w WHERE b2 IS NOT NULL
+      UNION ALL
+      SELECT doc_id, ((b0 * 256 + b1) * 256 + b2) * 256 + b3 FROM w WHERE b3 IS NOT NULL),
+h AS (SELECT doc_id, (v::UBIGINT * {FACTOR}::UBIGINT) // 128 AS h FROM g),
+s AS (SELECT doc_id, CAST((h // 2) % {schemas.EMBEDDING_DIM} AS INT) AS dim,
+        sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2),
 l AS (SELECT doc_id, sqrt(sum(c * c)) AS len FROM s GROUP BY 1)
-SELECT doc_id, dim, round(c / len, 4) AS x FROM s JOIN l USING (doc_id) WHERE c <> 0""",
+SELECT doc_id, dim, CAST(floor(CAST(c / len AS FLOAT)::DOUBLE * 10000) AS BIGINT) AS x FROM s JOIN l USING (doc_id) WHERE c <> 0""",
     "rca_scores": f"""WITH {_MEANS}
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS score
 FROM embeddings JOIN c USING (label)""",

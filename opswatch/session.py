@@ -20,6 +20,7 @@ def build_session(app: str = "opswatch", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.forceDeleteTempCheckpointLocation": "true",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)

@@ -106,8 +106,11 @@ def anomaly_sessions(
     A session window closes at exactly ``gap`` after its last anomaly and treats the next anomaly
     at that very instant as a new session; the batch operator still counts it to the old one.
     """
+    anomalies = anomalies.withColumn(ts, F.col(ts).cast("timestamp"))
     session = F.session_window(F.col(ts), f"{round(gap * 1000)} milliseconds").alias("w")
-    grouped = anomalies.withWatermark(ts, late).groupBy(*keys, session)
+    # Streams have no sessions without a key; a computed constant stands in for one.
+    everything = F.when(F.col(ts).isNotNull(), 0).alias("everything")
+    grouped = anomalies.withWatermark(ts, late).groupBy(*(keys or [everything]), session)
     counted = grouped.agg(
         F.min(ts).alias("first_anomaly"),
         F.max(ts).alias("last_anomaly"),
