@@ -51,7 +51,9 @@ def fit_scaler(df: DataFrame, col: str = "embedding") -> DataFrame:
     """
     vector = array_to_vector(F.col(col).cast("array<double>"))
     metrics = Summarizer.metrics("mean", "variance", "count")
-    summary = df.agg(metrics.summary(vector).alias("s"))
+    # Grouping by a constant gives no row, instead of an error, for no vectors.
+    filled = df.where(F.col(col).isNotNull()).groupBy(F.lit(1).alias("all"))
+    summary = filled.agg(metrics.summary(vector).alias("s"))
     n = F.col("s.count")
     factor = F.when(n > 1, (n - 1) / n).otherwise(0.0)
 
@@ -59,7 +61,7 @@ def fit_scaler(df: DataFrame, col: str = "embedding") -> DataFrame:
         deviation = F.sqrt(variance * factor)
         return F.when(deviation > 0, deviation).otherwise(1.0)
 
-    return summary.where(n > 0).select(
+    return summary.select(
         vector_to_array("s.mean").alias("mean"),
         F.transform(vector_to_array("s.variance"), scale).alias("scale"),
         n.alias("n"),

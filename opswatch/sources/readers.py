@@ -99,7 +99,7 @@ def read_semantic(spark: SparkSession, path: str) -> DataFrame:
 
 def read_experiment_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of experiment logs with ``experiment`` (the file) and ``ord`` (the line number)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias(
             "experiment"
