@@ -8,35 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opswatch import schemas
-from opswatch.functions import first_value_of, json_path, rx, semantic_text, to_number
+from opswatch.functions import first_value_of, rx, semantic_text, to_number
 
 
 def parse_envelope(df: DataFrame, col: str = "json_str", keep: tuple[str, ...] = ()) -> DataFrame:
     """``source_type, timestamp, message`` of each event, with the event text kept beside them."""
-    text = F.col(col).cast("string")
-    return df.select(
-        *keep,
-        text.alias("json_str"),
-        json_path(text, "$.source_type").alias("source_type"),
-        json_path(text, "$.timestamp").alias("timestamp"),
-        json_path(text, "$.message").alias("message"),
-    )
+    fields = ("source_type", "timestamp", "message")
+    texts = df.select(*keep, F.col(col).cast("string").alias("json_str"))
+    return texts.select(*keep, "json_str", F.json_tuple("json_str", *fields).alias(*fields))
+
 
+_INNER = {source: [name for _, name in fields] for source, fields in schemas.SOURCE_FIELDS.items()}
+_INNER_NAMES = sorted({name for names in _INNER.values() for name in names})
+_FLAT_NAMES = _INNER[schemas.FLAT_SOURCE]
 
-def _field(source: str, name: str) -> Column:
-    inner = json_path(F.col("message"), f"$.{name}")
-    if source == schemas.FLAT_SOURCE:
-        return first_value_of(inner, json_path(F.col("json_str"), f"$.{name}"))
-    return inner
+
+def _with_fields(envelope: DataFrame) -> DataFrame:
+    """The fields of the message as ``m_…`` and those beside the envelope as ``f_…``.
+
+    Each text is parsed once for all its fields, and only where the source has any: raw-text
+    messages and the events of other sources are not parsed.
+    """
+    source = F.col("source_type")
+    inner = F.when(source != schemas.TEXT_SOURCE, F.col("message"))
+    flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
+    parsed = envelope.select(
+        "*", F.json_tuple(inner, *_INNER_NAMES).alias(*[f"m_{n}" for n in _INNER_NAMES])
+    )
+    return parsed.select(
+        "*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"f_{n}" for n in _FLAT_NAMES])
+    )
 
 
 def _columns() -> dict[str, tuple[str, Column]]:
-    """Structured column -> (source that fills it, expression)."""
-    columns = {
-        column: (source, _field(source, name))
-        for source, fields in schemas.SOURCE_FIELDS.items()
-        for column, name in fields
-    }
+    """Structured column -> (source that fills it, expression over the parsed fields)."""
+    columns = {}
+    for source, fields in schemas.SOURCE_FIELDS.items():
+        for column, name in fields:
+            value = F.col(f"m_{name}")
+            if source == schemas.FLAT_SOURCE:
+                value = first_value_of(value, F.col(f"f_{name}"))
+            columns[column] = (source, value)
     for column, pattern in schemas.TEXT_FIELDS:
         columns[column] = (schemas.TEXT_SOURCE, rx(F.col("message"), pattern))
     return columns
@@ -45,21 +57,23 @@ def _columns() -> dict[str, tuple[str, Column]]:
 def route_structured(envelope: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The 36-column structured table of an envelope table or stream, in one pass.
 
-    Each column belongs to one source, so a row evaluates only its own source's paths. Rows of
-    unknown sources are dropped. ``keep`` carries further columns (such as the event time) along.
+    Each column belongs to one source. Rows of unknown sources are dropped. ``keep`` carries
+    further columns (such as the event time) along.
     """
     source = F.col("source_type")
     routed = [
         F.when(source == owner, expression).alias(column)
         for column, (owner, expression) in _columns().items()
     ]
-    return envelope.where(source.isin(schemas.SOURCES)).select(*keep, source, *routed)
+    known = envelope.where(source.isin(schemas.SOURCES))
+    return _with_fields(known).select(*keep, source, *routed)
 
 
 def source_rows(envelope: DataFrame, source: str) -> DataFrame:
     """One source's rows with only its own columns."""
     own = [e.alias(c) for c, (owner, e) in _columns().items() if owner == source]
-    return envelope.where(F.col("source_type") == source).select("source_type", *own)
+    rows = envelope.where(F.col("source_type") == source)
+    return _with_fields(rows).select("source_type", *own)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -105,11 +119,11 @@ def route_for_scoring(
             value = F.when(source == filled[name], expressions[name][1])
         elif name in _COMPAT_NUMBER:
             owner, path = _COMPAT_NUMBER[name]
-            value = F.when(source == owner, json_path(F.col("message"), f"$.{path}"))
+            value = F.when(source == owner, F.col(f"m_{path}"))
         else:
             value = F.lit(None).cast("string")
         features.append(_defaulted(name, value))
-    return envelope.select(*keep, *features)
+    return _with_fields(envelope).select(*keep, *features)
 
 
 def _defaulted(name: str, value: Column) -> Column:
@@ -118,12 +132,14 @@ def _defaulted(name: str, value: Column) -> Column:
     return F.coalesce(value, F.lit("unknown")).alias(name)
 
 
-def semantic_rows(df: DataFrame, col: str = "json_str", mode: str = "native") -> DataFrame:
+def semantic_rows(
+    df: DataFrame, col: str = "json_str", mode: str = "native", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """``source_type, ingest_time, semantic_text`` beside the event text."""
-    text = F.col(col).cast("string")
-    return df.select(
-        text.alias("json_str"),
-        json_path(text, "$.source_type").alias("source_type"),
-        json_path(text, "$.timestamp").alias("ingest_time"),
-        semantic_text(text, mode).alias("semantic_text"),
+    texts = df.select(*keep, F.col(col).cast("string").alias("json_str"))
+    return texts.select(
+        *keep,
+        "json_str",
+        F.json_tuple("json_str", "source_type", "timestamp").alias("source_type", "ingest_time"),
+        semantic_text(F.col("json_str"), mode).alias("semantic_text"),
     )

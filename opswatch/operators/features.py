@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opswatch import schemas
 from opswatch.functions import to_number
+from opswatch.operators.arrow import matrix
+from opswatch.operators.partition_sums import partition_sums
 from opswatch.session import cut_lineage
 
 MAX_WIDTH = 20_000
 MAX_PLAIN_VALUES = 1_000_000
+_SCALER = "mean array<double>, scale array<double>, n bigint"
 
 
 def valid_embeddings(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
@@ -47,25 +50,31 @@ def select_features(
 def fit_scaler(df: DataFrame, col: str = "embedding") -> DataFrame:
     """One row: ``mean``, ``scale`` (population deviation, 1 for a constant dimension) and ``n``.
 
-    The variance summary is a JVM aggregate with partial sums; it divides by n-1, hence the factor.
+    Sums and sums of squares are taken about one of the vectors, so that large means do not cost
+    digits, as one vector per partition. No row without vectors.
     """
-    vector = array_to_vector(F.col(col).cast("array<double>"))
-    metrics = Summarizer.metrics("mean", "variance", "count")
-    # Grouping by a constant gives no row, instead of an error, for no vectors.
-    filled = df.where(F.col(col).isNotNull()).groupBy(F.lit(1).alias("all"))
-    summary = filled.agg(metrics.summary(vector).alias("s"))
-    n = F.col("s.count")
-    factor = F.when(n > 1, (n - 1) / n).otherwise(0.0)
-
-    def scale(variance):
-        deviation = F.sqrt(variance * factor)
-        return F.when(deviation > 0, deviation).otherwise(1.0)
-
-    return summary.select(
-        vector_to_array("s.mean").alias("mean"),
-        F.transform(vector_to_array("s.variance"), scale).alias("scale"),
-        n.alias("n"),
-    )
+    vectors = df.select(F.col(col).cast("array<double>").alias("x")).where(F.size("x") > 0)
+    spark = df.sparkSession
+    first = vectors.first()
+    if first is None:
+        return spark.createDataFrame([], _SCALER)
+    pivot = np.asarray(first["x"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        n, total, squares = 0, np.zeros(len(pivot)), np.zeros(len(pivot))
+        for batch in batches:
+            x = matrix(batch.column(0), len(pivot)) - pivot
+            n, total, squares = n + len(x), total + x.sum(0), squares + (x * x).sum(0)
+        return np.concatenate([[n], total, squares])
+
+    sums = partition_sums(vectors, work)
+    n, (total, squares) = sums[0], np.split(sums[1:], 2)
+    variance = np.maximum(squares / n - (total / n) ** 2, 0.0)
+    # Rounding may leave a trace of variance in a constant dimension.
+    constant = variance <= 1e-15 * (squares / n)
+    scale = np.where(constant, 1.0, np.sqrt(variance))
+    row = ((pivot + total / n).tolist(), scale.tolist(), int(n))
+    return spark.createDataFrame([row], _SCALER)
 
 
 def fit_onehot(

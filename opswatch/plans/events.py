@@ -21,14 +21,21 @@ from opswatch.operators.features import fit_onehot, select_features
 from opswatch.operators.labels import rule_labels
 from opswatch.operators.normalize import classify_health, flatten_metrics, keep_metrics, tag_source
 from opswatch.operators.quantiles import exact_percentile
-from opswatch.plans.tables import SQL_EVENTS, SQL_SOURCE, SQL_STRUCTURED, envelopes, events, table
+from opswatch.plans.tables import (
+    SQL_EVENTS,
+    SQL_SOURCE,
+    SQL_STRUCTURED,
+    event_records,
+    events,
+    table,
+)
 
 _STRUCTURED = ", ".join(schemas.STRUCTURED_COLUMNS)
 _KNOWN = "source_type <> 'mystery'"
 
 
 def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_envelope(envelopes(events(spark, sf_dir)), keep=("event_id",))
+    return parse_envelope(event_records(spark, sf_dir), keep=("event_id",))
 
 
 def parse_envelopes(spark, sf_dir):
@@ -146,11 +153,8 @@ def semantic_texts_exact(spark, sf_dir):
 
 
 def _semantic(spark, sf_dir, mode):
-    source = envelopes(events(spark, sf_dir))
-    rows = semantic_rows(source, mode=mode)
-    return rows.select(
-        F.xxhash64("json_str").alias("h"), "source_type", "ingest_time", "semantic_text"
-    ).drop("h")
+    rows = semantic_rows(event_records(spark, sf_dir), mode=mode, keep=("event_id",))
+    return rows.drop("json_str")
 
 
 def numeric_coerce(spark, sf_dir):
@@ -279,7 +283,7 @@ _NOT_JSON = "source_type = 'app_container_metrics' AND k = 98"
 
 _SEMANTIC_SQL = f"""WITH {SQL_EVENTS},
 s AS (SELECT *, {SQL_SOURCE} AS source_type FROM e)
-SELECT CASE WHEN {_NOT_JSON} THEN NULL ELSE source_type END AS source_type,
+SELECT event_id, CASE WHEN {_NOT_JSON} THEN NULL ELSE source_type END AS source_type,
        CASE WHEN {_NOT_JSON} THEN NULL ELSE {_ISO} END AS ingest_time,
   CASE
     WHEN {_NOT_JSON} THEN '[INVALID_JSON]'

@@ -58,9 +58,8 @@ def stream_structured(spark, sf_dir):
 
 
 def stream_semantic(spark, sf_dir):
-    rows = semantic_rows(envelopes(_event_stream(spark, sf_dir)))
-    path = _run(rows.select("source_type", "ingest_time", "semantic_text"))
-    return spark.read.schema(schemas.SEMANTIC).parquet(path).drop("embedding")
+    rows = semantic_rows(envelopes(_event_stream(spark, sf_dir)), keep=("event_id",))
+    return spark.read.parquet(_run(rows.drop("json_str")))
 
 
 def stream_labelled(spark, sf_dir):

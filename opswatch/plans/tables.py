@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opswatch.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +22,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, json_str``: all events as published records."""
+    return envelopes(spread(events(spark, sf_dir)))
+
+
 SQL_EVENTS = """e AS (
   SELECT event_id, ts, user_id, event_type, value,
          CAST(json_extract_string(props, '$.k') AS INT) AS k

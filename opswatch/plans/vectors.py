@@ -32,8 +32,8 @@ from opswatch.operators.scoring import (
     score_events,
     score_vectors,
 )
-from opswatch.plans.tables import envelopes, events, host_catalog, page_texts, table
-from opswatch.session import cut_lineage
+from opswatch.plans.tables import event_records, host_catalog, page_texts, table
+from opswatch.session import cut_lineage, spread
 from opswatch.streaming.rootcause import encode_services, root_cause
 
 DIM = 64
@@ -147,14 +147,14 @@ def fine_tuned_scores(spark, sf_dir):
 
 def encoded_documents(spark, sf_dir):
     """Vectors of the whole documents; numbers that are zero are left out."""
-    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    rows = encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     numbers = rows.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
     scaled = F.floor(F.col("x").cast("double") * 10_000)
     return numbers.where(F.col("x") != 0).select("doc_id", "dim", scaled.alias("x"))
 
 
 def _event_rows(spark, sf_dir):
-    return cut_lineage(envelopes(events(spark, sf_dir)))
+    return cut_lineage(event_records(spark, sf_dir))
 
 
 def _semantic_model(source, dim=schemas.EMBEDDING_DIM):
