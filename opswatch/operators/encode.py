@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,40 +81,66 @@ def encode(
     called once per Python worker, that returns an object with
     ``encode(list of texts) -> rows of numbers``.
     """
-    run = _hashed(dim) if encoder is None else _plugged(encoder)
-    return df.withColumn(out, run(F.col(col)))
+    return df.withColumn(out, over_vectors(col, VECTOR, lambda v: list(v), list, encoder, dim))
 
 
-def _hashed(dim: int):
-    def run(texts: pa.Array) -> pa.Array:
-        vectors = hashed_pieces(texts, dim).astype(np.float32)
-        there = np.asarray(texts.is_valid())
-        sizes = np.where(there, dim, 0)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, vectors[there].ravel())
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, VECTOR)
+def over_vectors(
+    col: str,
+    returns: T.DataType,
+    result: Callable[[np.ndarray], Any],
+    missing: Callable[[], Any],
+    encoder: Callable[[], Any] | None = None,
+    dim: int = EMBEDDING_DIM,
+) -> Column:
+    """``result`` of the vectors of a text column, in the same stage that encodes the text.
 
+    ``result`` maps a matrix to one value per row; ``missing()`` stands for a text that cannot be
+    encoded. Vectors are 32-bit numbers. The length of the text goes along unused, to keep the
+    optimizer from folding the expression that makes the text into this stage.
+    """
 
-def _plugged(factory: Callable[[], Any]):
-    def rows_of(model: Any, texts: list[str]) -> list[np.ndarray]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = Hashed(dim) if encoder is None else encoder()
+        for texts, _ in batches:
+            vectors = _encoded(model, texts.tolist())
+            sizes = np.array([len(v) for v in vectors])
+            out = np.empty(len(vectors), dtype=object)
+            out[:] = [missing() for _ in vectors]
+            good = np.flatnonzero(sizes > 0)
+            for size in np.unique(sizes[good]):
+                same = np.flatnonzero(sizes == size)
+                values = result(np.stack([vectors[i] for i in same]))
+                for i, value in zip(same, values):
+                    out[i] = value
+            yield pd.Series(out, index=texts.index)
+
+    run.__annotations__ = {
+        "batches": Iterator[tuple[pd.Series, pd.Series]],
+        "return": Iterator[pd.Series],
+    }
+    return F.pandas_udf(run, returns)(F.col(col), F.length(col))
+
+
+class Hashed:
+    """The default encoder behind the plug-in interface; a null text has no vector."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        vectors = hashed_pieces(pa.array(texts, pa.large_string()), self.dim).astype(np.float32)
+        return [v if t is not None else v[:0] for t, v in zip(texts, vectors)]
+
+
+def _encoded(model: Any, texts: list[str | None]) -> list[np.ndarray]:
+    try:
         return [np.asarray(v, dtype=np.float32) for v in model.encode(texts)]
+    except Exception:  # whatever a plugged-in model raises means "no vector": find the rows
+        return [_one(model, t) for t in texts]
+
 
-    def one(model: Any, text: str | None) -> np.ndarray:
-        try:
-            return rows_of(model, [text])[0]
-        except Exception:  # whatever a plugged-in model raises means "no vector"
-            return np.empty(0, dtype=np.float32)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
-        for texts in batches:
-            try:
-                vectors = rows_of(model, texts.tolist())
-            except Exception:  # find the failing rows one by one
-                vectors = [one(model, t) for t in texts]
-            yield pd.Series(vectors, index=texts.index)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, VECTOR)
+def _one(model: Any, text: str | None) -> np.ndarray:
+    try:
+        return np.asarray(model.encode([text])[0], dtype=np.float32)
+    except Exception:
+        return np.empty(0, dtype=np.float32)

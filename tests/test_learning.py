@@ -107,6 +107,24 @@ def test_gradient_is_the_slope(spark):
         assert gradient[i] == pytest.approx(slope, abs=1e-6)
 
 
+def test_sparse_rows_equal_dense_rows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    numbers = rng.normal(size=(9, 2))
+    hot = [sorted(rng.choice(np.arange(2, 12), size=k, replace=False)) for k in (3, 0, 1, 4, 2, 0, 5, 1, 3)]
+    lists = pa.array(numbers.tolist()), pa.array([[int(i) for i in r] for r in hot], pa.list_(pa.int32()))
+    dense, sparse = ae.dense_features(*lists, 12), ae.sparse_features(*lists)
+    model = ae.initial(12, 4, seed=1)
+    mask = ae.dropout_mask(np.arange(9), 3, 4, 0.2)
+    assert model.errors(sparse) == pytest.approx(model.errors(dense))
+    for m in (None, mask):
+        (a, g), (b, h) = model.gradient_sums(dense, m), model.gradient_sums(sparse, m)
+        assert a == pytest.approx(b) and g == pytest.approx(h)
+    keep = np.arange(9) % 2 == 0
+    assert model.errors(sparse.where(keep)) == pytest.approx(model.errors(dense[keep]))
+
+
 def test_dropout_share():
     mask = ae.dropout_mask(np.arange(5000), 1, 20, 0.2)
     assert (mask == 0).mean() == pytest.approx(0.2, abs=0.01) and mask.mean() == pytest.approx(1, abs=0.01)
