@@ -8,7 +8,7 @@ from opswatch.functions.numeric import (
     tier,
     to_number,
 )
-from opswatch.functions.semantic import INVALID_JSON, semantic_text
+from opswatch.functions.semantic import INVALID_JSON, semantic_text, with_semantic_text
 from opswatch.functions.text import (
     contains_ci,
     deps_text,
@@ -49,4 +49,5 @@ __all__ = [
     "tier",
     "to_number",
     "url_host",
+    "with_semantic_text",
 ]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opswatch import schemas
-from opswatch.functions import first_value_of, rx, semantic_text, to_number
+from opswatch.functions import first_value_of, rx, to_number, with_semantic_text
 
 
 def parse_envelope(df: DataFrame, col: str = "json_str", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -137,9 +137,7 @@ def semantic_rows(
 ) -> DataFrame:
     """``source_type, ingest_time, semantic_text`` beside the event text."""
     texts = df.select(*keep, F.col(col).cast("string").alias("json_str"))
-    return texts.select(
-        *keep,
-        "json_str",
-        F.json_tuple("json_str", "source_type", "timestamp").alias("source_type", "ingest_time"),
-        semantic_text(F.col("json_str"), mode).alias("semantic_text"),
-    )
+    names = ("source_type", "ingest_time")
+    tagged = texts.select("*", F.json_tuple("json_str", "source_type", "timestamp").alias(*names))
+    rows = with_semantic_text(tagged, "json_str", mode=mode)
+    return rows.select(*keep, "json_str", *names, "semantic_text")
