@@ -167,10 +167,9 @@ def price_gain(spark, sf_dir):
 
 
 def _pages_of(spark, sf_dir, item, body):
-    """Conversations packed as stored API pages: one JSON body per conversation."""
-    turns = table(spark, sf_dir, "conversations").withColumn("item", item)
-    packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return packed.select("conv_id", body.alias("body"))
+    """Conversation turns as stored API pages; a page per turn needs no grouping."""
+    turns = table(spark, sf_dir, "conversations").withColumn("items", F.array(item))
+    return turns.select("conv_id", body.alias("body"))
 
 
 def commit_pages(spark, sf_dir):

@@ -4,6 +4,7 @@ import math
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -31,7 +32,7 @@ def duck():
 
 def canonical(df):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return repr(round(float(v), 5)) if isinstance(v, float) and math.isfinite(v) else str(v)
 
