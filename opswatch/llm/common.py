@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opswatch.session import cut_lineage
+
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word: a run of anything else.
@@ -28,7 +30,7 @@ def small(df: DataFrame, row_bytes: int) -> bool:
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 64) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, row_bytes: int = 64) -> DataFrame:
     """A join whose right side is broadcast when its counted size allows and shuffled otherwise.
 
     ``right`` is counted, so it should be materialised. The rows are the same either way.
@@ -36,6 +38,20 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, row
     return left.join(F.broadcast(right) if small(right, row_bytes) else right, on, how)
 
 
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (long) and ``text``; of rows that repeat an id, one with the least text that is not null.
+
+    The ids are counted first; texts are shuffled only for ids that do repeat. Rows without an id stay as they are.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return docs
+    once = join_counted(docs, repeated, ["doc_id"], "left_anti", 16)
+    several = join_counted(docs, repeated, ["doc_id"], "left_semi", 16)
+    return once.unionByName(several.groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 one) over unsigned numbers."""
     with np.errstate(over="ignore"):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opswatch.llm.common import table
+from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
+from opswatch.llm.mixing import MIXING_SQL, mix_documents
+from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
 from opswatch.llm.sharding import SHARDING_SQL, shard_documents
 
 
@@ -13,5 +16,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {"op1_sharding": op1_sharding}
-ORACLES = {"op1_sharding": SHARDING_SQL}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 3, 1, 2 and 150 % of their words."""
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies: 5-word shingles, Jaccard similarity 0.8."""
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for its text."""
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("content_hash")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
+ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
