@@ -8,6 +8,7 @@ from opswatch.llm.common import table
 from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
 from opswatch.llm.mixing import MIXING_SQL, mix_documents
 from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
+from opswatch.llm.quality import fit_quality, score_quality
 from opswatch.llm.sharding import SHARDING_SQL, shard_documents
 
 
@@ -16,6 +17,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by a model of its lines."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 3, 1, 2 and 150 % of their words."""
     return mix_documents(table(spark, sf_dir, "documents"))
@@ -31,5 +38,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("content_hash")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
 ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
