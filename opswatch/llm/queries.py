@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opswatch.llm.common import table
 from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
 from opswatch.llm.mixing import MIXING_SQL, mix_documents
 from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
+from opswatch.llm.pieces import decode, encode_samples, load_pieces
 from opswatch.llm.quality import fit_quality, score_quality
 from opswatch.llm.sharding import SHARDING_SQL, shard_documents
+from opswatch.llm.vector_search import nearest_neighbours
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +26,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth embedding among all of them."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 3, 1, 2 and 150 % of their words."""
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text: their size, weights, a hash of their ids, and whether they decode to it."""
+    pieces = load_pieces()
+    encoded = encode_samples(table(spark, sf_dir, "documents"), pieces)
+    return encoded.select(
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "log_inclusion",
+        F.xxhash64("ids").alias("ids_hash"), (F.crc32(decode("ids", spark, pieces)) == F.col("text_crc32")).alias("round_trip"),
+    )
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near copies: 5-word shingles, Jaccard similarity 0.8."""
     return similar_components(table(spark, sf_dir, "documents"))
@@ -38,5 +56,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("content_hash")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
 ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
