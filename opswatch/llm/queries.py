@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opswatch.llm.common import table
+from opswatch.llm.context_mixing import score_texts
 from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
 from opswatch.llm.mixing import MIXING_SQL, mix_documents
 from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
@@ -36,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every text under the context mixer and under word counts."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every text: their size, weights, a hash of their ids, and whether they decode to it."""
     pieces = load_pieces()
@@ -56,5 +62,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("content_hash")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op5_context_mixing": op5_context_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
 ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
