@@ -13,6 +13,7 @@ from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
 from opswatch.llm.pieces import decode, encode_samples, load_pieces
 from opswatch.llm.quality import fit_quality, score_quality
 from opswatch.llm.sharding import SHARDING_SQL, shard_documents
+from opswatch.llm.toxicity import fit_chain, score_toxicity
 from opswatch.llm.vector_search import nearest_neighbours
 
 
@@ -57,10 +58,16 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a chain of categories."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays for its text."""
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("content_hash")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op5_context_mixing": op5_context_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op5_context_mixing": op5_context_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
 ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
