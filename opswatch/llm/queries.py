@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opswatch.llm.common import table
 from opswatch.llm.context_mixing import score_texts
 from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
+from opswatch.llm.licences import scan_licences
 from opswatch.llm.mixing import MIXING_SQL, mix_documents
 from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
 from opswatch.llm.pieces import decode, encode_samples, load_pieces
@@ -69,5 +70,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("content_hash")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op5_context_mixing": op5_context_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document; its source and language stand for the directories of its path."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licences(table(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op5_context_mixing": op5_context_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_licences": op10_licences}
 ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
