@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from opswatch.llm.common import table
 from opswatch.llm.context_mixing import score_texts
 from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
@@ -76,5 +77,22 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_vector_search": op3_vector_search, "op4_mixing": op4_mixing, "op5_context_mixing": op5_context_mixing, "op6_pieces": op6_pieces, "op7_ngram_join": op7_ngram_join, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_licences": op10_licences}
-ORACLES = {"op1_sharding": SHARDING_SQL, "op4_mixing": MIXING_SQL, "op7_ngram_join": NGRAM_JOIN_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op3_vector_search": op3_vector_search,
+    "op4_mixing": op4_mixing,
+    "op5_context_mixing": op5_context_mixing,
+    "op6_pieces": op6_pieces,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_toxicity": op8_toxicity,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_licences": op10_licences,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES = {
+    "op1_sharding": SHARDING_SQL,
+    "op4_mixing": MIXING_SQL,
+    "op7_ngram_join": NGRAM_JOIN_SQL,
+    "op9_exact_dedup": EXACT_DEDUP_SQL,
+}
