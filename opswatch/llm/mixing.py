@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from opswatch.llm.common import WORD, join_counted
 from opswatch.session import cut_lineage
 
-#: Rows of a source, or of a range of finish times, that one task orders.
-CHUNK_ROWS = 200_000
+#: Rows of one chunk of the shuffled order, over all sources.
+CHUNK_ROWS = 2_000
+#: Rows of one range of finish times.
+RANGE_ROWS = 100_000
 _KEY_SPAN = float(16**15)
 
 
@@ -92,7 +94,7 @@ def mix_documents(
     )
     placed = cut_lineage(placed)
 
-    ranges = max(64, most * rows // chunk_rows)
+    ranges = max(64, most * rows // RANGE_ROWS)
     copies = placed.where("size > 0").select(
         "*", F.explode(F.array(*map(F.lit, range(most)))).alias("_copy")
     )
