@@ -18,7 +18,7 @@ from opswatch.llm.common import mix64, uniform
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Bytes of text whose words are segmented together; a longer text is taken alone and whole.
-_BYTES = 6 << 20
+_BYTES = 1 << 20
 _SPACE_MARK = "▁"  # fixed value: SentencePiece's mark of a space
 
 
@@ -130,39 +130,45 @@ class Lattice:
             begins.append(pos[found])
             ends.append(pos[found] + depth)
             labels.append(hit[found])
-        begin, end, label = np.concatenate(begins), np.concatenate(ends), np.concatenate(labels)
+        # a place's edges stand together, the shortest first: a piece of each length begins at a place at most once
+        degree = np.zeros(len(data) + 1, np.int64)
+        alone = np.zeros(len(data) + 1, bool)
         step = np.zeros(len(data) + 1, np.int64)
         step[first] = width
-        alone = np.zeros(len(data) + 1, bool)
-        alone[begin[end - begin == step[begin]]] = True
-        bare = first[~alone[first]]  # characters without a piece of their own: their bytes
-        score = np.concatenate([trie.log_prob[label], trie.byte_log_prob * step[bare]])
-        begin, end = np.concatenate([begin, bare]), np.concatenate([end, bare + step[bare]])
-        label = np.concatenate([label, np.full(len(bare), -1, label.dtype)])
+        for pos, end in zip(begins, ends, strict=True):
+            degree[pos] += 1
+            alone[pos[end - pos == step[pos]]] = True
+        bare = first[~alone[first]]  # characters without a piece of their own: their bytes, after the other edges
+        begins.append(bare)
+        ends.append(bare + step[bare])
+        labels.append(np.full(len(bare), -1, np.int64))
+        degree[bare] += 1
+        self.first = np.concatenate([[0], np.cumsum(degree)])  # edges of a place: first[p] to first[p + 1]
+        free = self.first[:-1].copy()
+        many = int(self.first[-1])
+        self.begin, self.edge_end, self.label = np.empty(many, np.int64), np.empty(many, np.int64), np.empty(many, np.int64)
+        for pos, end, label in zip(begins, ends, labels, strict=True):
+            at = free[pos]
+            self.begin[at], self.edge_end[at], self.label[at] = pos, end, label
+            free[pos] += 1
+        score = np.where(self.label >= 0, trie.log_prob[self.label], trie.byte_log_prob * (self.edge_end - self.begin))
+        inner = self.edge_end < stop[self.begin]
         # from the words' ends to their starts: the log mass of everything that can follow a place
-        left = stop[begin] - begin
-        order = np.lexsort((begin, left))
-        begin, end, label, score, left = begin[order], end[order], label[order], score[order], left[order]
+        left = (stop - np.arange(len(data)))[first]
+        far = int(left.max()) if len(left) else 0
+        order = first[np.argsort(left.astype(np.uint16) if far < 1 << 16 else left, kind="stable")]
+        cuts = np.append(0, np.cumsum(np.bincount(left, minlength=far + 1)))
         mass = np.zeros(len(data) + 1)
-        cuts = np.append(np.flatnonzero(np.diff(left, prepend=-1)), len(left))
-        total = np.empty(len(left))
-        word_end = stop[begin] == end
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            ahead = np.where(word_end[lo:hi], 0.0, mass[end[lo:hi]])
-            value = score[lo:hi] + ahead
-            own = begin[lo:hi]
-            group = np.flatnonzero(np.diff(own, prepend=-1))
-            summed = np.logaddexp.reduceat(value, group)
-            mass[own[group]] = summed
-            total[lo:hi] = value - np.repeat(summed, np.diff(group, append=hi - lo))
-        order = np.argsort(begin, kind="stable")
-        self.edge_end, self.label, self.log_p = end[order], label[order], total[order]
-        self.begin = begin = begin[order]
+        for n in range(1, far + 1):
+            at = order[cuts[n] : cuts[n + 1]]
+            if len(at):
+                edges = _ranges(self.first[at], degree[at])
+                value = score[edges] + np.where(inner[edges], mass[self.edge_end[edges]], 0.0)
+                mass[at] = np.logaddexp.reduceat(value, np.cumsum(degree[at]) - degree[at])
+        self.log_p = score + np.where(inner, mass[self.edge_end], 0.0) - mass[self.begin]
         self.prob = np.exp(self.log_p)
-        self.first = np.searchsorted(begin, np.arange(len(data) + 1))  # edges of a place: first[p] to first[p + 1]
-        running = np.cumsum(self.prob)
-        base = np.where(self.first[begin] > 0, running[self.first[begin] - 1], 0.0)
-        self.upto = running - base
+        running = np.concatenate([[0.0], np.cumsum(self.prob)])
+        self.upto = running[1:] - running[self.first[self.begin]]
         self.data = data
 
     def sample(self, word: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
