@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Where a text names its host and its service.
+HOST_PATTERN = r"http://([^:/]+)"
+NAME_PATTERN = r"name=([a-zA-Z0-9_\-]+)"
+
 
 def rx(col: Column, pattern: str) -> Column:
     """First group of the first match, ``''`` without one."""
@@ -26,12 +30,12 @@ def kv_text(entries: Column) -> Column:
 
 def url_host(col: Column) -> Column:
     """Host of the first ``http://`` address, null without one."""
-    return F.nullif(rx(col, r"http://([^:/]+)"), F.lit(""))
+    return F.nullif(rx(col, HOST_PATTERN), F.lit(""))
 
 
 def named_service(col: Column) -> Column:
     """Value after ``name=`` up to its first underscore, null without one."""
-    value = F.nullif(rx(col, r"name=([a-zA-Z0-9_\-]+)"), F.lit(""))
+    value = F.nullif(rx(col, NAME_PATTERN), F.lit(""))
     return F.nullif(F.substring_index(value, "_", 1), F.lit(""))
 
 

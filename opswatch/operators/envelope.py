@@ -8,14 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opswatch import schemas
-from opswatch.functions import first_value_of, rx, to_number, with_semantic_text
+from opswatch.functions import first_value_of, json_path, rx, to_number, with_semantic_text
+
+
+def _first_values(text: Column, names: tuple[str, ...]) -> list[Column]:
+    """The first value of each key, as text."""
+    return [json_path(text, f"$['{name}']").alias(name) for name in names]
 
 
 def parse_envelope(df: DataFrame, col: str = "json_str", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``source_type, timestamp, message`` of each event, with the event text kept beside them."""
+    """``source_type, timestamp, message`` of each event, with the event text kept beside them.
+
+    Of a key that occurs twice the first value counts.
+    """
     fields = ("source_type", "timestamp", "message")
     texts = df.select(*keep, F.col(col).cast("string").alias("json_str"))
-    return texts.select(*keep, "json_str", F.json_tuple("json_str", *fields).alias(*fields))
+    return texts.select(*keep, "json_str", *_first_values(F.col("json_str"), fields))
 
 
 _INNER = {source: [name for _, name in fields] for source, fields in schemas.SOURCE_FIELDS.items()}
@@ -23,21 +31,33 @@ _INNER_NAMES = sorted({name for names in _INNER.values() for name in names})
 _FLAT_NAMES = _INNER[schemas.FLAT_SOURCE]
 
 
-def _with_fields(envelope: DataFrame) -> DataFrame:
+_OWNERS = {n: [source for source, names in _INNER.items() if n in names] for n in _INNER_NAMES}
+
+
+def _with_fields(envelope: DataFrame, last: bool = False) -> DataFrame:
     """The fields of the message as ``m_…`` and those beside the envelope as ``f_…``.
 
-    Each text is parsed once for all its fields, and only where the source has any: raw-text
-    messages and the events of other sources are not parsed.
+    Of a repeated key the first value counts, or the ``last`` one. A text is parsed only for the fields of
+    the row's source: raw-text messages and the events of other sources are not parsed. The last
+    values come from one parse for all fields.
     """
     source = F.col("source_type")
-    inner = F.when(source != schemas.TEXT_SOURCE, F.col("message"))
-    flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
-    parsed = envelope.select(
-        "*", F.json_tuple(inner, *_INNER_NAMES).alias(*[f"m_{n}" for n in _INNER_NAMES])
-    )
-    return parsed.select(
-        "*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"f_{n}" for n in _FLAT_NAMES])
-    )
+    if last:
+        inner = F.when(source != schemas.TEXT_SOURCE, F.col("message"))
+        flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
+        parsed = envelope.select(
+            "*", F.json_tuple(inner, *_INNER_NAMES).alias(*[f"m_{n}" for n in _INNER_NAMES])
+        )
+        return parsed.select(
+            "*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"f_{n}" for n in _FLAT_NAMES])
+        )
+
+    def field(text: str, name: str, owners: list[str]) -> Column:
+        return F.when(source.isin(owners), json_path(F.col(text), f"$['{name}']"))
+
+    message = [field("message", n, _OWNERS[n]).alias(f"m_{n}") for n in _INNER_NAMES]
+    beside = [field("json_str", n, [schemas.FLAT_SOURCE]).alias(f"f_{n}") for n in _FLAT_NAMES]
+    return envelope.select("*", *message, *beside)
 
 
 def _columns() -> dict[str, tuple[str, Column]]:
@@ -123,7 +143,7 @@ def route_for_scoring(
         else:
             value = F.lit(None).cast("string")
         features.append(_defaulted(name, value))
-    return _with_fields(envelope).select(*keep, *features)
+    return _with_fields(envelope, last=True).select(*keep, *features)
 
 
 def _defaulted(name: str, value: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opswatch.functions import record_json
+from opswatch.session import cut_lineage
+
+# Up to this many timestamps of labels are broadcast; more are met by a shuffle.
+BROADCAST_KEYS = 500_000
 
 # Fixed values: (source, texts one of which makes the lower-cased message an anomaly).
 DEFAULT_RULES: list[tuple[str, list[str]]] = [
@@ -86,7 +90,11 @@ def apply_feedback(
         labels = labels.withColumn("root_cause", F.lit(None).cast("string"))
     cause = F.nullif(F.col("root_cause"), F.lit(""))
     wanted = labels.select(key, "feedback_label", cause.alias("root_cause"))
-    found = first_per_key(anomalies, [key], order)
+    # labels are written by people; their timestamps are broadcast when their count allows
+    asked = cut_lineage(wanted.select(key).distinct())
+    few = asked.count() <= BROADCAST_KEYS
+    kept = anomalies.join(F.broadcast(asked) if few else asked, key, "left_semi")
+    found = first_per_key(kept, [key], order)
     return found.drop("feedback_label", "root_cause", order).join(wanted, key)
 
 

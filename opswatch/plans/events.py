@@ -242,12 +242,11 @@ def label_stage_counts(spark, sf_dir):
 
 def event_rule_quality(spark, sf_dir):
     """Precision and recall of "value above 60" against the rule labels, per source."""
-    source = events(spark, sf_dir).select("event_id", "value")
-    labelled = rule_labels(_envelope(spark, sf_dir)).where(
+    records = event_records(spark, sf_dir, keep=("value",))
+    labelled = rule_labels(parse_envelope(records, keep=("event_id", "value"))).where(
         F.col("source_type").isin(schemas.SOURCES)
     )
-    both = labelled.select("event_id", "source_type", "label").join(source, "event_id")
-    said = both.withColumn("predicted", (F.col("value") > 60).cast("int"))
+    said = labelled.withColumn("predicted", (F.col("value") > 60).cast("int"))
     found = binary_metrics(said, "label", "predicted", ["source_type"], "value")
     names = ("precision", "recall", "f1", "mean_mse")
     return found.select("source_type", *[F.round(n, 6).alias(n) for n in names])

@@ -29,18 +29,48 @@ def _folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
+    """The events table as a stream of its files, whether it is one file or a folder of parts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    stream = spark.readStream.schema(schema).options(**options).parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def _run(df: DataFrame, by: tuple[str, ...] = ()) -> str:
-    folder = _folder(df.sparkSession)
+def _run_into(df: DataFrame, folder: str, by: tuple[str, ...] = ()) -> int:
+    """Run a stream to the end of its input; returns the rows it has read."""
     query = start_sink(df, f"{folder}/out", f"{folder}/state", by, trigger=_ONCE)
     query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def _run(df: DataFrame, by: tuple[str, ...] = ()) -> str:
+    folder = _folder(df.sparkSession)
+    if not _run_into(df, folder, by):
+        raise RuntimeError("the stream has read no row")
+    return f"{folder}/out"
+
+
+#: A table has no order of arrival: nothing in it is late, and everything is closed by a last row.
+_NEVER_LATE, _END = "40000 days", "2250-01-01 00:00:00"
+
+
+def _run_closed(spark: SparkSession, build, schema: str, end: str) -> str:
+    """Run ``build(marks)`` to its end, then once more with one mark, so that the watermark passes every row.
+
+    ``marks`` is a stream of ``schema`` that stays empty until then; ``end`` is its one row in SQL.
+    """
+    folder = _folder(spark)
+    marks = f"{folder}/marks"
+    closing = spark.sql(f"SELECT {end}").to(spark.createDataFrame([], schema).schema)
+    closing.limit(0).write.parquet(marks)
+
+    def once() -> int:
+        return _run_into(build(spark.readStream.schema(schema).parquet(marks)), folder)
+
+    if not once():
+        raise RuntimeError("the stream has read no row")
+    closing.write.mode("append").parquet(marks)
+    once()
     return f"{folder}/out"
 
 
@@ -82,46 +112,54 @@ def stream_labelled(spark, sf_dir):
 
 
 def stream_alerts(spark, sf_dir):
-    """Alert changes of an hourly grid, kept as state per event type."""
+    """Alert changes of an hourly grid, kept as state per event type; both streams come in several batches."""
     width = 3_600_000_000
-    grid = (
-        _event_stream(spark, sf_dir)
-        .select(
+
+    def grid(marks: DataFrame) -> DataFrame:
+        hour = F.ceil(micros(F.col("ts")) / F.lit(width)).cast("bigint") * width
+        events = _event_stream(spark, sf_dir, maxFilesPerTrigger="1")
+        rows = events.select("event_type", F.timestamp_micros(hour).alias("at"), "ts", "value")
+        timed = rows.unionByName(marks).withWatermark("at", _NEVER_LATE)
+        return timed.groupBy("event_type", "at").agg(F.max_by("value", "ts").alias("value"))
+
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
+    end = f"'' AS event_type, TIMESTAMP'{_END}' AS at, TIMESTAMP'{_END}' AS ts, 0D AS value"
+    path = _run_closed(spark, grid, f"event_type string, at timestamp, ts {kind}, value double", end)
+
+    def changes(marks: DataFrame) -> DataFrame:
+        # The grid is complete before it is read as the stream of evaluations.
+        stream = spark.readStream.schema("event_type string, at timestamp, value double")
+        instants = stream.option("maxFilesPerTrigger", 4).parquet(path).unionByName(marks)
+        return alert_transitions(
+            instants,
+            F.col("value") > 20,
             "event_type",
-            F.timestamp_micros(
-                F.ceil(micros(F.col("ts")) / F.lit(width)).cast("bigint") * width
-            ).alias("at"),
-            "ts",
-            "value",
+            "at",
+            for_=2 * HOUR,
+            step=HOUR,
+            cooldown_checks=3,
+            late=_NEVER_LATE,
         )
-        .withWatermark("at", "0 seconds")
-        .groupBy("event_type", "at")
-        .agg(F.max_by("value", "ts").alias("value"))
-    )
-    folder = _folder(spark)
-    path = _run(grid)
-    # The grid is complete before it is read as the stream of evaluations.
-    instants = spark.readStream.schema("event_type string, at timestamp, value double").parquet(path)
-    changes = alert_transitions(
-        instants,
-        F.col("value") > 20,
-        "event_type",
-        "at",
-        for_=2 * HOUR,
-        step=HOUR,
-        cooldown_checks=3,
+
+    end = f"'' AS event_type, TIMESTAMP'{_END}' AS at, 0D AS value"
+    found = spark.read.parquet(
+        _run_closed(spark, changes, "event_type string, at timestamp, value double", end)
     )
-    query = start_sink(changes, f"{folder}/out", f"{folder}/state", trigger=_ONCE)
-    query.awaitTermination()
-    found = spark.read.parquet(f"{folder}/out").where(F.col("state") != "recovered")
     return found.select("event_type", micros(F.col("at")).alias("ts_us"), "state")
 
 
 def stream_sessions(spark, sf_dir):
-    """Error episodes as sessions; those the watermark has not passed are not out yet."""
-    errors = _event_stream(spark, sf_dir).where(F.col("event_type") == "error")
-    path = _run(anomaly_sessions(errors, gap=1800, grace=5, late="1 second"))
-    found = spark.read.parquet(path)
+    """Error episodes as sessions, all of them closed at the end of the table."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
+
+    def sessions(marks: DataFrame) -> DataFrame:
+        events = _event_stream(spark, sf_dir, maxFilesPerTrigger="1")
+        errors = events.where(F.col("event_type") == "error").select("ts")
+        return anomaly_sessions(errors.unionByName(marks), gap=1800, grace=5, late=_NEVER_LATE)
+
+    found = spark.read.parquet(
+        _run_closed(spark, sessions, f"ts {kind}", f"TIMESTAMP'{_END}' AS ts")
+    )
     return found.select(
         micros(F.col("first_anomaly")).alias("first_us"),
         micros(F.col("last_anomaly")).alias("last_us"),
@@ -147,9 +185,18 @@ SELECT source_type, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS anomali
 FROM l JOIN p USING (event_id) GROUP BY source_type""",
     "stream_alerts": f"""WITH {_STATES},
 c AS (SELECT event_type, t, state,
-             lag(state, 1, 'inactive') OVER (PARTITION BY event_type ORDER BY t) AS before FROM st)
-SELECT event_type, t AS ts_us, state FROM c WHERE state <> before""",
-    "stream_sessions": f"""SELECT * FROM ({_episodes_sql(None, 1800, 5, None)})
-WHERE last_us + 1800000000 <= (
-  SELECT max(epoch_us(ts)) - 1000000 FROM events WHERE event_type = 'error')""",
+             lag(state, 1, 'inactive') OVER (PARTITION BY event_type ORDER BY t) AS before FROM st),
+b AS (SELECT event_type, t, state = 'firing' AS f FROM st),
+q AS (SELECT *, lag(f) OVER (PARTITION BY event_type ORDER BY t) AS pf FROM b),
+r AS (SELECT *, sum(CASE WHEN pf IS NULL OR pf <> f THEN 1 ELSE 0 END)
+        OVER (PARTITION BY event_type ORDER BY t) AS run FROM q),
+runs AS (SELECT event_type, run, f, count(*) AS n FROM r GROUP BY event_type, run, f),
+ep AS (SELECT *, count(*) FILTER (WHERE NOT f AND n >= 3) OVER (PARTITION BY event_type ORDER BY run
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM runs),
+rec AS (SELECT event_type, min(run) FILTER (WHERE NOT f AND n >= 3) AS run FROM ep
+        GROUP BY event_type, e HAVING count(*) FILTER (WHERE f) > 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY t) AS nth FROM r)
+SELECT event_type, t AS ts_us, state FROM c WHERE state <> before
+UNION ALL SELECT event_type, t, 'recovered' FROM num JOIN rec USING (event_type, run) WHERE nth = 3""",
+    "stream_sessions": _episodes_sql(None, 1800, 5, None),
 }

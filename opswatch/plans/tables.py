@@ -22,9 +22,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``event_id, json_str``: all events as published records."""
-    return envelopes(spread(events(spark, sf_dir)))
+def event_records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``event_id, json_str``: all events as published records, with further columns carried along."""
+    return envelopes(spread(events(spark, sf_dir)), keep)
 
 
 SQL_EVENTS = """e AS (
@@ -63,7 +63,7 @@ SQL_SOURCE = """CASE
     ELSE 'public_cloud' END"""
 
 
-def envelopes(events_df: DataFrame) -> DataFrame:
+def envelopes(events_df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``event_id, json_str``: the JSON record a collector would publish for each event."""
     k, user, value = F.col("k"), F.col("user_id"), F.col("value")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -170,7 +170,7 @@ def envelopes(events_df: DataFrame) -> DataFrame:
         .otherwise(enveloped)
     )
     return events_df.withColumn("source_type", source_of()).select(
-        "event_id", text.alias("json_str")
+        "event_id", *keep, text.alias("json_str")
     )
 
 

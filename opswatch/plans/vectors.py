@@ -23,7 +23,7 @@ from opswatch.operators.encode import FACTOR, encode
 from opswatch.operators.envelope import parse_envelope, route_structured, semantic_rows
 from opswatch.operators.features import fit_features, fit_scaler, valid_embeddings
 from opswatch.operators.labels import rule_labels
-from opswatch.operators.projection import fit_projection
+from opswatch.operators.projection import SECOND_TRAINING, fit_projection
 from opswatch.operators.rootcause import cosine_topk, rca_pairs, rca_scores
 from opswatch.operators.scoring import (
     SemanticBundle,
@@ -201,7 +201,7 @@ def _pair_vectors(spark, sf_dir):
 def projection_gain(spark, sf_dir):
     """Similarity of confirmed texts to their service before and after contrastive training."""
     pairs = _pair_vectors(spark, sf_dir)
-    w, _ = fit_projection(pairs, repeat=1, batch=64, epochs=2)
+    w, _ = fit_projection(pairs, **SECOND_TRAINING, batches_per_update=200)
     scored = rca_scores(pairs, "text_vector", "entity_vector", "before")
     scored = rca_scores(scored, "text_vector", "entity_vector", "after", w)
     return scored.select("page_id", "service", "before", "after")

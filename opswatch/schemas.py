@@ -81,20 +81,57 @@ STRUCTURED_COLUMNS: list[str] = (
 STRUCTURED = _strings(*STRUCTURED_COLUMNS)
 
 # The model features, in feature order.
-FEATURE_COLUMNS: list[str] = """
-source_type response_status log_message log_level commit_email commit_author commit_repository
-action_event action_name action_pipeline_file action_build_branch action_conclusion event_name
-username device kind name value logger_name service_name client_ip request_method request_uri
-request_time user_agent container_url container_value container_message error_detail
-""".split()
-NUMERIC_COLUMNS: list[str] = "response_status value container_value request_time".split()
+FEATURE_COLUMNS: list[str] = [
+    "source_type",
+    "response_status",
+    "log_message",
+    "log_level",
+    "commit_email",
+    "commit_author",
+    "commit_repository",
+    "action_event",
+    "action_name",
+    "action_pipeline_file",
+    "action_build_branch",
+    "action_conclusion",
+    "event_name",
+    "username",
+    "device",
+    "kind",
+    "name",
+    "value",
+    "logger_name",
+    "service_name",
+    "client_ip",
+    "request_method",
+    "request_uri",
+    "request_time",
+    "user_agent",
+    "container_url",
+    "container_value",
+    "container_message",
+    "error_detail",
+]
+NUMERIC_COLUMNS: list[str] = [
+    "response_status",
+    "value",
+    "container_value",
+    "request_time",
+]
 CATEGORICAL_COLUMNS: list[str] = [c for c in FEATURE_COLUMNS if c not in NUMERIC_COLUMNS]
 
 # Host metrics that are kept.
-KEPT_METRICS: list[str] = """
-node_load1 node_load5 node_load15 node_memory_MemAvailable_bytes node_filesystem_avail_bytes
-node_filesystem_size_bytes node_filesystem_free_bytes node_network_up node_network_info
-""".split()
+KEPT_METRICS: list[str] = [
+    "node_load1",
+    "node_load5",
+    "node_load15",
+    "node_memory_MemAvailable_bytes",
+    "node_filesystem_avail_bytes",
+    "node_filesystem_size_bytes",
+    "node_filesystem_free_bytes",
+    "node_network_up",
+    "node_network_info",
+]
 
 EMBEDDING_DIM = 384
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,15 @@ def alert_transitions(
     for_: float = 5.0,
     step: float = 5.0,
     cooldown_checks: int = 10,
+    late: str = "30 seconds",
 ) -> DataFrame:
     """Changes of each series' alert: pending, firing, inactive, and recovered.
 
-    ``df`` streams one row per series and evaluation instant, in time order per series (rows older
-    than the last one seen are dropped as late). ``recovered`` follows after ``cooldown_checks``
-    consecutive evaluations without firing. State is four numbers per series.
+    ``df`` streams one row per series and evaluation instant, in any order within ``late`` of the
+    newest instant. An instant is held until the watermark has passed it and is then evaluated in
+    time order, so the changes do not depend on how rows came in batches. ``recovered`` follows after
+    ``cooldown_checks`` consecutive evaluations without firing. State is four numbers per series and
+    its instants that are still held.
     """
     held, width = round(for_ * SECOND), round(step * SECOND)
     out = T.StructType(
@@ -44,49 +48,67 @@ def alert_transitions(
             T.StructField("since", T.LongType()),
             T.StructField("state", T.StringType()),
             T.StructField("quiet", T.LongType()),
+            T.StructField("waiting", T.ArrayType(T.LongType())),
+            T.StructField("waiting_on", T.ArrayType(T.BooleanType())),
         ]
     )
 
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        last, since, current, quiet = state.get if state.exists else (-1, -1, "inactive", -1)
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        last, since, current, quiet = -1, -1, "inactive", -1
+        at, on = [np.empty(0, np.int64)], [np.empty(0, bool)]
+        if state.exists:
+            last, since, current, quiet, waiting, waiting_on = state.get
+            at.append(np.asarray(waiting, np.int64))
+            on.append(np.asarray(waiting_on, bool))
+        if not state.hasTimedOut:
+            for rows in batches:
+                at.append(rows["at"].to_numpy(np.int64))
+                on.append(rows["on"].to_numpy(bool))
+        at, on = np.concatenate(at), np.concatenate(on)
+        order = np.argsort(at, kind="stable")
+        at, on = at[order], on[order]
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = int(np.searchsorted(at, passed, side="left"))
         changes = []
-        for at, on in zip(rows["at"].to_numpy(), rows["on"].to_numpy()):
-            at = int(at)
-            if at <= last:
+        for instant, active in zip(at[:ready].tolist(), on[:ready].tolist(), strict=True):
+            if instant <= last:
                 continue
-            if not on:
+            if not active:
                 since, new = -1, "inactive"
             else:
-                if since < 0 or at - last > width:
-                    since = at
-                new = "firing" if at - since >= held else "pending"
+                if since < 0 or instant - last > width:
+                    since = instant
+                new = "firing" if instant - since >= held else "pending"
             if new != current:
-                changes.append((at, new))
+                changes.append((instant, new))
             # quiet: evaluations since the last firing one, -1 when nothing is left to recover.
             if new == "firing":
                 quiet = 0
             elif quiet >= 0:
                 quiet += 1
                 if quiet >= cooldown_checks:
-                    changes.append((at, "recovered"))
+                    changes.append((instant, "recovered"))
                     quiet = -1
-            last, current = at, new
-        state.update((last, since, current, quiet))
+            last, current = instant, new
+        state.update((last, since, current, quiet, at[ready:].tolist(), on[ready:].tolist()))
+        if ready < len(at):
+            state.setTimeoutTimestamp(max(int(at[ready]) // 1000, passed // 1000) + 1)
         if changes:
             found = pd.DataFrame(changes, columns=["at", "state"])
             found.insert(0, "series", key[0])
             yield found
 
-    rows = df.select(
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = timed.select(
         F.col(series).cast("string").alias("series"),
+        F.col(ts).alias("instant"),  # carries the watermark
         micros(F.col(ts)).alias("at"),
         F.coalesce(condition, F.lit(False)).alias("on"),
     )
     changes = rows.groupBy("series").applyInPandasWithState(
-        run, out, kept, "append", GroupStateTimeout.NoTimeout
+        run, out, kept, "append", GroupStateTimeout.EventTimeTimeout
     )
     return changes.select(
         F.col("series").alias(series), from_micros(F.col("at")).alias(ts), "state"

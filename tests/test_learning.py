@@ -21,6 +21,7 @@ from opswatch.operators.features import (
     select_features,
     valid_embeddings,
 )
+from opswatch.session import cut_lineage
 from opswatch.operators.projection import fit_projection, load_projection, ranking_loss, save_projection
 from opswatch.operators.quantiles import exact_percentile
 from opswatch.operators.scoring import SemanticBundle, StructuredBundle, evaluate, score_events, score_vectors
@@ -139,9 +140,18 @@ def test_fullbatch_ignores_partitioning(spark):
     assert [h["val_loss"] for h in first] == pytest.approx([h["val_loss"] for h in second])
 
 
+def test_equal_rows_are_dealt_apart(spark):
+    """Without an id each row is its own: copies neither share a shard nor a side of the split."""
+    df = spark.range(2000).select(F.when(F.col("id") % 10 < 7, F.array(*[F.lit(1.0)] * 4)).otherwise(F.array(*[F.col("id") * 0.5] * 4)).alias("x"))
+    dealt = cut_lineage(ae.training_rows(df, [F.col("x")], None))
+    assert abs(dealt.where("held_out").count() / 2000 - ae.VALIDATION_SHARE) < 0.04
+    sizes = [r["count"] for r in dealt.repartition(4, "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 600
+
+
 def test_one_shard_is_plain_minibatch_training(spark):
     df, x = vectors(spark)
-    fitted, history = ae.fit_autoencoder(df, id_col="id", hidden=3, epochs=3, batch_size=64, dropout=0.0)
+    fitted, history = ae.fit_autoencoder(df, id_col="id", hidden=3, epochs=3, batch_size=64, dropout=0.0, shards=1)
     hashed = df.select("id", F.xxhash64("id").alias("h"))
     orders = [
         [r.id for r in hashed.orderBy(F.xxhash64("h", F.lit(e)), "h").collect()] for e in range(3)
@@ -161,8 +171,8 @@ def test_one_shard_is_plain_minibatch_training(spark):
 
 def test_shards_follow_the_rows(spark):
     df, _ = vectors(spark)
-    fitted, _ = ae.fit_autoencoder(df, id_col="id", hidden=3, epochs=2, rows_per_shard=60)
-    again, _ = ae.fit_autoencoder(df.repartition(7), id_col="id", hidden=3, epochs=2, rows_per_shard=60)
+    fitted, _ = ae.fit_autoencoder(df, id_col="id", hidden=3, epochs=2, shards=5)
+    again, _ = ae.fit_autoencoder(df.repartition(7), id_col="id", hidden=3, epochs=2, shards=5)
     assert fitted.flat() == pytest.approx(again.flat(), abs=1e-12)
 
 

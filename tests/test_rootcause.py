@@ -28,7 +28,9 @@ from opswatch.operators.rootcause import (
     cosine_topk,
     entity_text,
     extract_service,
+    first_named,
     rca_pairs,
+    with_candidates,
 )
 
 CATALOG = "service_name string, domain string, system string, dependencies array<string>, ord long"
@@ -65,6 +67,28 @@ def test_extract_service(spark, inline):
     assert ("nginx and service-2", None) in rows(none)
 
 
+@pytest.mark.parametrize("inline", [0, 500])
+@pytest.mark.parametrize("names, text, want", [
+    (["", "svc-a"], "hello svc-a", ""), (["svc-a", ""], "hello svc-a", "svc-a"), (["svc-a", ""], "hello", ""),
+    (["svc-a"], None, None), (["b", "ab", "é"], "xé ab", "b"),
+])
+def test_both_forms_name_the_same(spark, inline, names, text, want):
+    df = spark.createDataFrame([(text,)], "semantic_text string")
+    found = first_named(df, catalog(spark, names), "semantic_text", "named", max_inline=inline, block_names=1)
+    assert found.first().named == want
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_topk_on_odd_vectors(spark, limit):
+    """Null and wrong vectors have no answer; rows that share an id are answered each."""
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [1.0]), (4, [1.0, 1.0])], "id long, embedding array<double>")
+    entities = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [1.0, 0.0])], "service_name string, ord long, vector array<double>")
+    found = cosine_topk(queries, entities, 2, max_values=limit, block=2)
+    assert rows(found, "id", "rank", "entity") == [(1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (1, 2, "c"), (4, 1, "a"), (4, 2, "b")]
+    listed = with_candidates(queries, entities, 2, max_values=limit).select("id", "candidates.entity")
+    assert sorted((r[0], tuple(r[1] or ())) for r in listed.collect()) == [(1, ("a", "c")), (1, ("b", "a")), (2, ()), (3, ()), (4, ("a", "b"))]
+
+
 def test_pairs_use_the_last_entry_of_a_name(spark):
     df = spark.createDataFrame(
         [("nginx", "old", "s", [], 1), ("nginx", "new", "s", ["a"], 2)], CATALOG

@@ -68,6 +68,17 @@ def test_routing(spark):
     assert rows(united, *order) == rows(routed, *order)
 
 
+def test_the_first_of_repeated_keys_counts(spark):
+    inner = '{"level":"INFO","level":"ERROR","message":"a","logger":{"x":1}}'
+    text = json.dumps({"source_type": "app_container_log", "timestamp": "t", "message": inner})
+    twice = text[:-1] + ', "timestamp": "u"}'
+    envelope = parse_envelope(spark.createDataFrame([(twice,)], "json_str string"))
+    assert envelope.first().timestamp == "t"
+    routed = route_structured(envelope).first()
+    assert (routed.log_level, routed.log_message, routed.logger_name) == ("INFO", "a", '{"x":1}')
+    assert route_for_scoring(envelope).first().log_level == "ERROR"  # the evaluation takes the last
+
+
 def test_routing_reads_once(spark, tmp_path):
     source(spark).write.parquet(str(tmp_path / "e"))
     routed = route_structured(parse_envelope(spark.read.parquet(str(tmp_path / "e"))))
@@ -211,15 +222,22 @@ def test_collect_until_times_out(spark, tmp_path):
     assert found <= 1 and time.monotonic() - started < 60
 
 
-def test_alert_transitions(spark, tmp_path):
+@pytest.mark.parametrize("cuts", ["late", "mixed"])
+def test_alert_transitions(spark, tmp_path, cuts):
+    """The changes do not depend on how the rows are dealt to batches."""
     t0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
     on = [0, 1, 1, 1, 0, 0, 1, 1, 0, 0, 0, 0]
     folder = str(tmp_path / "in")
     data = [("s", t0 + timedelta(seconds=5 * i), float(v)) for i, v in enumerate(on)]
-    for part in (data[:5], data[5:] + data[1:3]):  # late copies change nothing
+    end = [("end", t0 + timedelta(hours=1), 0.0)]
+    if cuts == "late":  # late copies change nothing
+        parts = (data[:5], data[5:] + data[1:3], end)
+    else:
+        parts = (data[7:9] + data[:2], data[4:7], data[9:] + data[2:4], end)
+    for part in parts:
         spark.createDataFrame(part, "s string, ts timestamp, v double").coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema("s string, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(folder)
-    changes = alert_transitions(stream, F.col("v") > 0, "s", cooldown_checks=3)
+    changes = alert_transitions(stream, F.col("v") > 0, "s", cooldown_checks=3, late="2 minutes")
     out = str(tmp_path / "out")
     sources.start_sink(changes, out, str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
     got = [(r.ts.second, r.state) for r in spark.read.parquet(out).orderBy("ts", "state").collect()]
@@ -235,6 +253,16 @@ def test_alert_transitions(spark, tmp_path):
     ]
 
 
+def test_streams_read_a_folder_of_parts(spark, tmp_path):
+    """A table that is a folder gives the stream queries what a single file gives."""
+    from opswatch.plans import streams
+
+    one = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{one}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_structured", "stream_sessions"):
+        assert rows(streams.QUERIES[name](spark, str(tmp_path))) == rows(streams.QUERIES[name](spark, one))
+
+
 def test_anomaly_sessions(spark, tmp_path):
     t0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
     folder = str(tmp_path / "in")
