@@ -166,10 +166,23 @@ def price_gain(spark, sf_dir):
     return found.select("l_returnflag", F.round("avg_gain", 8).alias("avg_gain"), "samples")
 
 
+_PAGE_TURNS = 4
+
+
 def _pages_of(spark, sf_dir, item, body):
-    """Conversation turns as stored API pages; a page per turn needs no grouping."""
-    turns = table(spark, sf_dir, "conversations").withColumn("items", F.array(item))
-    return turns.select("conv_id", body.alias("body"))
+    """Conversation turns as stored API pages of up to four turns in their order."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.floor(F.col("turn") / F.lit(_PAGE_TURNS)).alias("page"), "turn", item.alias("item")
+    )
+    pages = turns.groupBy("conv_id", "page").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "item")), _by_turn).alias("numbered")
+    )
+    pages = pages.withColumn("items", F.transform("numbered", lambda n: n["item"]))
+    return pages.select("conv_id", body.alias("body"))
+
+
+def _by_turn(a, b):
+    return F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0)
 
 
 def commit_pages(spark, sf_dir):
