@@ -108,7 +108,7 @@ def scan(
         exact = ((q[:, None, :] - rv[head]) ** 2).sum(axis=2)
         exact[np.take_along_axis(self_pair, head, axis=1)] = np.inf
         bound = np.sort(exact, axis=1)[:, k - 1] if m >= k else np.full(len(q), np.inf)
-        bound = bound * (1 + 1e-9)
+        bound = bound * (1 + 1e-9) + 1e-9 * (q * q).sum(axis=1)  # rounding; distances are taken anew below
         done = cuts[1]
         test = bound * (1 + EPSILON / np.sqrt(done)) ** 2 * done / dim if done < dim else bound
         qi, vi = np.nonzero((part <= test[:, None]) & np.isfinite(part))
