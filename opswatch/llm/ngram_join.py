@@ -18,7 +18,7 @@ from opswatch.session import cut_lineage
 #: n-grams that one task sorts to find those that occur in several documents.
 BUCKET_GRAMS = 2_000_000
 #: Sets that one prefix tree holds; larger blocks are divided.
-BLOCK_SETS = 4096
+BLOCK_SETS = 1024
 #: n-grams gathered by a task before they are sent on.
 _FLUSH = 2_000_000
 _CLASS_BITS = 57  # below the frequency class, so that numeric order is the global order
@@ -381,8 +381,8 @@ def similar_components(docs: DataFrame, n: int = 5, similar: int = 80, block_set
     distinct ``n``-word shingles, or its whole sequence if it has fewer words. Two documents link
     when ``100 * intersection >= similar * union``; ``component_id`` is the least id reachable by links, the own
     one included. Null texts and texts without words have no shingles and link with nothing. Rows that repeat an
-    id are one document with the least of their texts; rows without an id are left out of links and keep a null
-    component; other columns are ignored; an empty table gives no rows. Texts of equal words are joined once, as one set.
+    id are one document with the least of their texts; rows without an id are not compared and have two nulls; other
+    columns are ignored; an empty table gives no rows. Texts of equal words are joined once, as one set.
 
     Shingles are compared by the leading bits of 64-bit hashes: those that choose the bucket and 40 more.
     """
@@ -405,8 +405,8 @@ def similar_components(docs: DataFrame, n: int = 5, similar: int = 80, block_set
     )
     return named.join(found, "digest", "left").select(
         "doc_id",
-        F.coalesce("_size", F.lit(0)).cast("long").alias("n_shingles"),
-        F.coalesce("_component", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("_size", F.lit(0)).cast("long")).alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"),
     )
 
 
