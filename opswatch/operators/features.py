@@ -17,7 +17,8 @@ from opswatch.operators.arrow import matrix
 from opswatch.operators.partition_sums import partition_sums
 from opswatch.session import cut_lineage
 
-MAX_WIDTH = 20_000
+# Distinct values whose weights, one row each, the driver and every task can hold.
+MAX_WIDTH = 200_000
 MAX_PLAIN_VALUES = 1_000_000
 _SCALER = "mean array<double>, scale array<double>, n bigint"
 

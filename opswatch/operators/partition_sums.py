@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FAN_IN = 32
+DRIVER_BYTES = 256 << 20
 _SCHEMA = "v binary"
 
 
@@ -31,12 +32,16 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def partition_sums(
-    data: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]
+    data: DataFrame,
+    work: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None],
+    size: int = 0,
 ) -> np.ndarray | None:
     """Sum of ``work`` over the partitions of ``data`` (None from an empty partition is skipped).
 
-    At most ``FAN_IN`` vectors reach the driver, whatever the number of partitions.
+    At most ``FAN_IN`` vectors reach the driver, whatever the number of partitions, and fewer when
+    ``size`` numbers in each of them would take more than ``DRIVER_BYTES``.
     """
+    most = max(1, min(FAN_IN, DRIVER_BYTES // (8 * size))) if size else FAN_IN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = work(batches)
@@ -45,8 +50,8 @@ def partition_sums(
 
     parts = data.rdd.getNumPartitions()
     sums = data.mapInArrow(run, _SCHEMA)
-    while parts > FAN_IN:
-        parts = -(-parts // FAN_IN)
+    while parts > most:
+        parts = max(1, -(-parts // FAN_IN)) if parts > FAN_IN else most
         sums = sums.repartition(parts).mapInArrow(_add, _SCHEMA)
     vectors = [_unpack(bytes(r["v"])) for r in sums.collect()]
     return np.sum(vectors, axis=0) if vectors else None

@@ -273,3 +273,15 @@ def test_projection_learns(spark, tmp_path):
     assert losses[-1] < losses[0]
     save_projection(w, spark, str(tmp_path / "p"))
     assert load_projection(spark, str(tmp_path / "p")) == pytest.approx(w)
+
+
+def test_sums_reduce_to_what_the_driver_can_hold(spark, monkeypatch):
+    from opswatch.operators import partition_sums as ps
+
+    def work(batches):
+        return np.array([sum(b.num_rows for b in batches), 1.0])
+
+    data = spark.range(1000).repartition(40)
+    for limit in (8, 64, 1 << 20):
+        monkeypatch.setattr(ps, "DRIVER_BYTES", limit)
+        assert ps.partition_sums(data, work, size=2).tolist() == [1000.0, 40.0]
