@@ -51,8 +51,16 @@ class Lists:
     rotation: np.ndarray
     probes: int
 
-    def nearest(self, vectors: np.ndarray, count: int) -> np.ndarray:
-        return np.argsort(_squares(vectors, self.centres), axis=1, kind="stable")[:, :count]
+    def own(self, vectors: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        return _squares(vectors, self.centres).argmin(axis=1)
+
+    def probed(self, vectors: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that each query probes, one after another, and how many: more where they hold too few rows."""
+        order = np.argsort(_squares(vectors, self.centres), axis=1, kind="stable")
+        enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
+        many = np.minimum(np.maximum(enough, self.probes), order.shape[1])
+        return order[np.arange(order.shape[1]) < many[:, None]], many
 
 
 def fit_lists(vectors: DataFrame, rows: int, dim: int, k: int = 10, rounds: int = 8) -> Lists:
@@ -64,13 +72,13 @@ def fit_lists(vectors: DataFrame, rows: int, dim: int, k: int = 10, rounds: int
     some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, SAMPLE_VALUES // dim)).select("vector")
     sample = _matrix(some.toArrow().column(0))
     lists = int(min(MOST_LISTS, len(sample), max(1, np.sqrt(rows) / 2)))
-    centres = sample[:lists].copy()
+    centres = np.unique(sample[:lists], axis=0)  # equal centres would share rows by rounding
     for _ in range(rounds):
         of = _squares(sample, centres).argmin(axis=1)
-        count = np.bincount(of, minlength=lists)
+        count = np.bincount(of, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, of, sample)
-        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+        centres = np.unique(sums[count > 0] / count[count > 0, None], axis=0)
     noise = uniform(np.arange(dim * dim), 7).reshape(dim, dim) + uniform(np.arange(dim * dim), 8).reshape(dim, dim) - 1.0
     rotation, _ = np.linalg.qr(noise)
     queries = np.arange(min(200, len(sample)))
@@ -80,7 +88,7 @@ def fit_lists(vectors: DataFrame, rows: int, dim: int, k: int = 10, rounds: int
     place = np.argsort(np.argsort(_squares(sample[queries], centres), axis=1, kind="stable"), axis=1)
     depth = np.sort(np.take_along_axis(place, _squares(sample, centres).argmin(axis=1)[near], axis=1).ravel())
     probes = int(depth[min(len(depth) - 1, int(np.ceil(TARGET_RECALL * len(depth))))]) + 1 if len(depth) else 1
-    return Lists(centres, rotation, min(lists, probes))
+    return Lists(centres, rotation, min(len(centres), probes))
 
 
 def scan(
@@ -173,22 +181,27 @@ def nearest_neighbours(
     if not count:
         return spark.createDataFrame([], RESULT)
     held = spark.sparkContext.broadcast(fit_lists(rows, count, dim, k))  # at most MOST_LISTS centres
-    probes = held.value.probes
-
-    def assign(many: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _matrix(batch.column(1))
-                near = held.value.nearest(x, many) if len(x) else np.zeros((0, many), np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, many, dtype=np.int32)), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["vec_id", "vector", "lists"])
-
-        return run
-
     kind = rows.schema["vector"].dataType.simpleString()
-    schema = f"vec_id long, vector {kind}, lists array<int>"
-    placed = rows.mapInArrow(assign(1), schema).select("vec_id", "vector", F.col("lists")[0].alias("list"))
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(assign(probes), schema)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = held.value.own(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["vec_id", "vector", "list"])
+
+    placed = rows.mapInArrow(assign, f"vec_id long, vector {kind}, list long")
+    in_lists = np.zeros(len(held.value.centres), np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row per list
+        in_lists[r["list"]] = r["count"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists, many = held.value.probed(_matrix(batch.column(1)), in_lists, k)
+                offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                columns = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists))]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "lists"])
+
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, f"vec_id long, vector {kind}, lists array<long>")
     asked = asked.select("vec_id", "vector", F.explode("lists").alias("list"))
     in_list = placed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
     by_list = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("turns"))
