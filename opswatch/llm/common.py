@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,13 @@ def id_bucket(doc_id: str | Column, n: int) -> Column:
     return (F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n).cast("int")
 
 
+def release() -> None:
+    """Hand freed memory back to the system, so that idle workers of earlier stages hold little."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small(df: DataFrame, row_bytes: int) -> bool:
     """Whether a materialised table is small enough to broadcast, by its counted rows."""
     return df.count() * row_bytes <= BROADCAST_BYTES

@@ -11,16 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opswatch.llm.common import join_counted, mix64, one_text_per_id
+from opswatch.llm.common import join_counted, mix64, one_text_per_id, release
 from opswatch.llm.components import components
 from opswatch.session import cut_lineage
 
 #: n-grams that one task sorts to find those that occur in several documents.
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 1_000_000
 #: Sets that one prefix tree holds; larger blocks are divided.
 BLOCK_SETS = 1024
 #: n-grams gathered by a task before they are sent on.
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _CLASS_BITS = 57  # below the frequency class, so that numeric order is the global order
 _KEPT = 40  # bits of a hash that are kept below those of its bucket
 
@@ -29,7 +29,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -129,8 +129,12 @@ def _requests(docs: DataFrame, n: int, bits: int, parts: int) -> DataFrame:
                 if held >= _FLUSH:
                     yield from flush(sets, ids)
                     sets, ids, held = [], [], 0
+                    release()
         if sets:
             yield from flush(sets, ids)
+        del sets
+        hashes.clear()
+        release()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, _REQUEST)
 
@@ -166,7 +170,9 @@ def _repeated(requests: DataFrame, parts: int) -> DataFrame:
     schema = pa.schema([("part", pa.int64())] + [(name, pa.binary()) for name in names[1:]])
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_binary_rows(answers(table), names, 1 << 20)), schema)
+        answered = pa.Table.from_batches(list(_binary_rows(answers(table), names, 1 << 20)), schema)
+        release()
+        return answered
 
     return requests.groupBy("bucket").applyInArrow(run, _ANSWER)
 

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opswatch.llm.common import mix64, uniform
+from opswatch.llm.common import mix64, release, uniform
 
 #: A public vocabulary of the box; any SentencePiece model file may be given instead.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Bytes of text whose words are segmented together; a longer text is taken alone and whole.
-_BYTES = 1 << 20
+_BYTES = 1 << 19
 _SPACE_MARK = "▁"  # fixed value: SentencePiece's mark of a space
 
 
@@ -86,8 +86,9 @@ class _Trie:
                     node = child[step] = len(piece)
                     piece.append(-1)
             piece[node] = k
-        self.child = np.zeros(len(piece) * width, np.int32)
-        self.child[np.fromiter(child.keys(), np.int64, len(child))] = np.fromiter(child.values(), np.int32, len(child))
+        small = np.uint16 if len(piece) < 1 << 16 else np.int32
+        self.child = np.zeros(len(piece) * width, small)
+        self.child[np.fromiter(child.keys(), np.int64, len(child))] = np.fromiter(child.values(), small, len(child))
         self.piece = np.array(piece, np.int32)
         self.width = width
         self.log_prob, self.byte_log_prob = pieces.log_prob
@@ -410,6 +411,8 @@ def encode_samples(docs: DataFrame, pieces: Pieces, k: int = SAMPLES, seed: int
                     names=["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "text_crc32"],
                 )
                 at = to
+                del found, rows, doc, rank, part, lp, g, q, crc, lists
+                release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ENCODED)
 

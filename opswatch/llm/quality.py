@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opswatch.llm.common import id_bucket, mix64
+from opswatch.llm.common import id_bucket, mix64, release
 from opswatch.operators.partition_sums import partition_sums
 from opswatch.session import cut_lineage
 
@@ -19,7 +19,7 @@ SAMPLE_DOCS = 2_000
 SAMPLE_LINES = 1_000
 KEEP_FROM = 0.7
 #: Bytes of text whose features one call computes.
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "other": range(128, 256)}
 _MARKS = {"stop": b".,;:?", "bang": b"!", "bar": b"|<>{}[]=_\\", "symbol": b"*%&#$@~^+"}
@@ -188,6 +188,7 @@ class LineModel:
             weight = np.where(even, 1.0, length)
             out[at:to] = np.add.reduceat(weight * marginal, begin) / np.add.reduceat(weight, begin)
             at = to
+        release()
         return np.clip(out, 0.0, 1.0)
 
 
