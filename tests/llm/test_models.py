@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from opswatch.llm.common import mix64, table as load
-from opswatch.llm.context_mixing import score_texts
+from opswatch.llm.context_mixing import _WORDS, _answered, score_texts, with_contexts
 from opswatch.llm.licences import TEMPLATES, fit_templates, scan_licences
 from opswatch.llm.pieces import Pieces, decode, decode_bytes, encode_samples, load_pieces, sample_segmentations
 from opswatch.llm.quality import FEATURES, LineModel, fit_quality, forward_backward, keep_quality, line_features, score_quality
@@ -207,3 +207,25 @@ def test_pipeline_on_odd_rows(spark, odd_docs, sf):
     for rows in (odd_docs, odd_docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             assert stage(spark, rows, sf).count() >= 0, name
+
+
+def test_context_counts_are_exact(spark):
+    """Every context has its own counts, however many there are: no two share a slot and none is rounded."""
+    rng = np.random.default_rng(1)
+    words = sorted({bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(4000)})
+    counts, classes = rng.integers(0, 1000, len(words)), rng.integers(0, 3, len(words))
+    rows = [(0, c, b" ".join(words[c::4]), bytes(classes[c::4].tolist()), counts[c::4].tobytes(), b"", 0, 0) for c in range(4)]
+    want = Counter()
+    for word, kind, n in zip(words, classes.tolist(), counts.tolist()):
+        for i, byte in enumerate(word + b" "):
+            want[kind, word[:i], byte >> 4] += n
+    got = with_contexts(spark.createDataFrame(rows, _WORDS), len(words)).toArrow().to_batches()
+    seen = 0
+    for row, edges in _answered(got):
+        levels = [(n0[:, -1], n1[:, -1]) for _, _, n0, n1 in edges.bit_counts(slice(None), False)]
+        upto = np.where(edges.symbols >> 4 & 1, levels[3][1], levels[3][0])  # whole beginning, four leading bits
+        for w, (word, kind) in enumerate(zip(row["words"].split(b" "), row["classes"])):
+            for i, byte in enumerate(word + b" "):
+                assert upto[edges.pair_of[edges.start[w] + i]] == want[kind, word[:i], byte >> 4]
+                seen += 1
+    assert seen == sum(len(w) + 1 for w in words)
