@@ -51,7 +51,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
 )
-#: Cosine from which a line is a notice, and from which a whole file is a licence file.
+#: Cosine from which a line or a window of words is a notice, and from which a whole file is a licence file.
 NOTICE_FROM = 0.8
 FILE_FROM = 0.5
 #: Names that make a file with a notice a licence file.
@@ -80,13 +80,14 @@ class _Terms(dict):
 
 @dataclass(frozen=True)
 class Templates:
-    """Template vectors over their own vocabulary; ``other_idf`` is for terms in no template."""
+    """Template vectors over their own vocabulary, and their terms' number; ``other_idf`` is for terms in no template."""
 
     names: tuple[str, ...]
     vocabulary: dict[bytes, int]
     idf: np.ndarray
     other_idf: float
     vectors: np.ndarray
+    sizes: tuple[int, ...]
 
     def cosines(self, words: list[bytes]) -> np.ndarray:
         """Cosine of a bag of words to each template."""
@@ -103,7 +104,9 @@ class Templates:
         return self.vectors @ known / norm if norm else np.zeros(len(self.names))
 
     def scan(self, text: bytes, terms: _Terms) -> tuple[str | None, float, str | None, float]:
-        """The best notice line's licence and cosine, and the best licence of the whole text with its cosine.
+        """The best notice's licence and cosine, and the best licence of the whole text with its cosine if that may reach ``FILE_FROM``.
+
+        Notices are lines, and windows as long as a template, whose words may be wrapped over lines or stand in a longer one.
 
         A line's terms outside the vocabulary bound its cosine from above; only lines that the bound leaves are
         compared with the templates.
@@ -119,19 +122,49 @@ class Templates:
         # repeats only raise a term's part: inside terms by at most their number in the line
         most = inside * np.maximum(np.bincount(line, codes >= 0, minlength=len(lines)), 1)
         near = np.flatnonzero((inside > 0) & (most >= NOTICE_FROM**2 * (most + outside)))
-        best, licence = 0.0, None
+        begin = np.cumsum(sizes) - sizes
+        found = []
         for i in near:
             c = self.cosines(words[i])
-            k = int(c.argmax())
-            if c[k] >= NOTICE_FROM and c[k] > best:
-                best, licence = float(c[k]), self.names[k]
+            found.append((float(c.max()), int(begin[i]), int(c.argmax())))
+        every = [w for ws in words for w in ws]
+        found += self.windows(every, codes, weight)
+        best, licence = 0.0, None
+        passed = [(-round(c, 12), at, k) for c, at, k in found if c >= NOTICE_FROM]
+        if passed:
+            c, _, k = min(passed)
+            best, licence = -c, self.names[k]
         file_best, file_licence = 0.0, None
-        if licence is not None:
-            c = self.cosines([w for ws in words for w in ws])
+        known = np.bincount(codes[codes >= 0], minlength=len(self.idf)) * self.idf
+        # repeats of other terms only lower the cosine
+        if (self.vectors @ known).max() >= FILE_FROM * np.sqrt(known @ known + outside.sum()) - 1e-9 and known.any():
+            c = self.cosines(every)
             k = int(c.argmax())
             file_best, file_licence = float(c[k]), self.names[k]
         return licence, best, file_licence, file_best
 
+    def windows(self, words: list[bytes], codes: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
+        """Cosine, first word and template of the windows of as many terms as a template, across lines, that may be its notice.
+
+        Templates with too few of their terms in the text have none. In a window, a term's repeats only lower the cosine below
+        what its running sums give; windows that this bound leaves are compared word by word.
+        """
+        place = np.flatnonzero(codes != -2)
+        codes, weight = codes[place], weight[place]
+        inside = codes >= 0
+        present = np.zeros(len(self.idf))
+        present[codes[inside]] = 1
+        norm = np.append(0, np.cumsum(weight))
+        found = []
+        for k in np.flatnonzero(self.vectors**2 @ present >= NOTICE_FROM**2 - 1e-9):
+            n = min(self.sizes[k], len(codes))
+            part = np.append(0, np.cumsum(np.where(inside, (self.vectors[k] * self.idf)[np.maximum(codes, 0)], 0)))
+            bound = NOTICE_FROM * np.sqrt(norm[n:] - norm[:-n])
+            for at in np.flatnonzero(part[n:] - part[:-n] >= bound - 1e-6):
+                c = self.cosines(words[place[at] : place[at + n - 1] + 1])[k]
+                found.append((float(c), int(place[at]), int(k)))
+        return found
+
 
 def fit_templates(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Templates:
     """Weigh the templates' terms by their inverse document frequency over all documents.
@@ -159,7 +192,7 @@ def fit_templates(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         for term, n in Counter(bag).items():
             row[vocabulary[term]] = n * idf[vocabulary[term]]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Templates(tuple(n for n, _ in templates), vocabulary, idf, float(np.log(1 + total[-1]) + 1), vectors)
+    return Templates(tuple(n for n, _ in templates), vocabulary, idf, float(np.log(1 + total[-1]) + 1), vectors, tuple(len(b) for b in bags))
 
 
 def scan_licences(files: DataFrame, path: str | Column = "path", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -167,8 +200,9 @@ def scan_licences(files: DataFrame, path: str | Column = "path", templates: tupl
 
     ``files`` has ``doc_id``, ``text`` and a path with ``/`` (column or expression). Result: ``doc_id``, ``path``, ``licence``,
     ``score`` (cosine of the notice), ``origin`` (``notice``, ``inherited`` or null), ``source_path`` (the file that says so). A
-    line is a notice when its TF-IDF cosine to a template reaches ``NOTICE_FROM``; the best line counts, ties go to the
-    earlier one. A file with a notice is a licence file when its name says so or its whole text reaches ``FILE_FROM``; it
+    line, or a run of as many words as a template has, is a notice when its TF-IDF cosine to the template reaches ``NOTICE_FROM``; the
+    best one counts, ties go to the earlier one. A file whose whole text reaches ``FILE_FROM`` is a licence file, with or without such a
+    notice (the cosine is then the whole text's); one with a notice also is when its name says so. A licence file
     speaks for its directory: of several the one with the highest cosine, then the least path. A file without a notice
     takes the licence of the nearest directory, its own or one above it, that has a licence file.
 
@@ -183,6 +217,7 @@ def scan_licences(files: DataFrame, path: str | Column = "path", templates: tupl
         terms = _Terms(model.value.vocabulary)
         for batch in batches:
             found = [model.value.scan(t.as_py() or b"", terms) for t in batch.column(2)]
+            found = [(n, s, fn, fs) if n is not None or fs < FILE_FROM else (fn, fs, fn, fs) for n, s, fn, fs in found]
             licence, score, file_licence, file_score = zip(*found, strict=True) if found else ((), (), (), ())
             columns = [pa.array(licence, pa.string()), pa.array(score, pa.float64()), pa.array(file_licence, pa.string()), pa.array(file_score, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "path", "licence", "score", "file_licence", "file_score"])

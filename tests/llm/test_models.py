@@ -229,3 +229,27 @@ def test_context_counts_are_exact(spark):
                 assert upto[edges.pair_of[edges.start[w] + i]] == want[kind, word[:i], byte >> 4]
                 seen += 1
     assert seen == sum(len(w) + 1 for w in words)
+
+
+def test_wrapped_and_embedded_notices(spark, make_docs):
+    """A notice counts over several lines, behind comment marks and inside a longer line; a whole text near a template too."""
+    import textwrap
+
+    mit, gpl, bsd = TEMPLATES[6][1], TEMPLATES[9][1], TEMPLATES[15][1]
+    wrap = lambda t, mark, n=70: "\n".join(textwrap.wrap(t, n, initial_indent=mark, subsequent_indent=mark))
+    code = "\ndef run(values):\n    return [v + 1 for v in values]\n" * 60
+    near = " ".join(w for i, w in enumerate(gpl.split()) if i % 3) + " see elsewhere now here some more words of ours besides them all"
+    files = [
+        (1, "a/LICENSE", "Copyright 2020 Some Body\n\n" + wrap(mit, "") + ", including the rights\nto use" + code), (2, "a/x.py", "nothing"),
+        (3, "b/COPYING", wrap(gpl, "# ") + "\n" + code), (4, "b/x.py", "nothing"), (5, "c/x.py", wrap(bsd, " * ", 45) + code),
+        (6, "d/x.py", "some words before " * 20 + bsd + " and many words after it" * 20), (7, "e/x.py", code), (8, "f/text", near), (9, "f/x.py", "nothing"),
+    ]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in scan_licences(df).collect()}
+    model = fit_templates(df)
+    assert not any(model.cosines(x.split()).max() >= 0.8 for f in files for x in f[2].lower().encode().split(b"\n") if f[0] != 6)
+    assert 0.5 <= model.cosines(near.lower().encode().split()).max() < 0.8
+    assert got == {
+        1: ("MIT", "notice"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "notice"), 4: ("GPL-3.0", "inherited"), 5: ("BSD-3-Clause", "notice"),
+        6: ("BSD-3-Clause", "notice"), 7: (None, None), 8: ("GPL-3.0", "notice"), 9: ("GPL-3.0", "inherited"),
+    }
