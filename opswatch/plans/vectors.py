@@ -21,6 +21,7 @@ from opswatch.operators.autoencoder import (
 )
 from opswatch.operators.encode import FACTOR, encode
 from opswatch.operators.envelope import parse_envelope, route_structured, semantic_rows
+from opswatch.operators.evaluation import rca_gain
 from opswatch.operators.features import fit_features, fit_scaler, valid_embeddings
 from opswatch.operators.labels import rule_labels
 from opswatch.operators.projection import SECOND_TRAINING, fit_projection
@@ -199,12 +200,14 @@ def _pair_vectors(spark, sf_dir):
 
 
 def projection_gain(spark, sf_dir):
-    """Similarity of confirmed texts to their service before and after contrastive training."""
+    """Similarity of confirmed texts to their service before and after contrastive training, and the mean relative gain."""
     pairs = _pair_vectors(spark, sf_dir)
-    w, _ = fit_projection(pairs, **SECOND_TRAINING, batches_per_update=200)
+    w, _ = fit_projection(pairs, **SECOND_TRAINING, batches_per_update=1)
     scored = rca_scores(pairs, "text_vector", "entity_vector", "before")
     scored = rca_scores(scored, "text_vector", "entity_vector", "after", w)
-    return scored.select("page_id", "service", "before", "after")
+    scored = scored.select("page_id", "service", "before", "after")
+    # One row: the mean over all samples.
+    return scored.crossJoin(F.broadcast(rca_gain(scored, "before", "after").select("avg_gain")))
 
 
 def page_root_causes(spark, sf_dir):

@@ -285,3 +285,40 @@ def test_sums_reduce_to_what_the_driver_can_hold(spark, monkeypatch):
     for limit in (8, 64, 1 << 20):
         monkeypatch.setattr(ps, "DRIVER_BYTES", limit)
         assert ps.partition_sums(data, work, size=2).tolist() == [1000.0, 40.0]
+
+
+def test_a_step_per_batch_in_order(spark, monkeypatch):
+    """Runs of steps that tasks take one after another are the steps of one job each."""
+    from opswatch.operators import projection
+
+    rng = np.random.default_rng(5)
+    pairs = [(rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for _ in range(30)]
+    df = spark.createDataFrame(pairs, "text_vector array<double>, entity_vector array<double>").coalesce(1)
+    found = []
+    for rows in (1, 16, 4096):
+        monkeypatch.setattr(projection, "CHAIN_ROWS", rows)
+        found.append(fit_projection(df, batch=4, epochs=3, lr=0.05, repeat=2))
+    for w, losses in found[1:]:
+        assert w == pytest.approx(found[0][0]) and losses == pytest.approx(found[0][1])
+    assert np.abs(found[0][0] - np.eye(4)).max() > 0.05
+
+
+def test_projection_gain_takes_every_step(spark, monkeypatch):
+    from opswatch.operators import autoencoder, projection
+    from opswatch.plans import vectors
+
+    rng = np.random.default_rng(6)
+    pairs = [(i, "s", rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for i in range(20)]
+    df = spark.createDataFrame(pairs, "page_id long, service string, text_vector array<double>, entity_vector array<double>")
+    taken = []
+
+    def counted(size, lr):
+        taken.append(autoencoder.Adam(size, lr))
+        return taken[-1]
+
+    monkeypatch.setattr(projection, "Adam", counted)
+    monkeypatch.setattr(vectors, "_pair_vectors", lambda *_: df)
+    got = vectors.projection_gain(spark, "").collect()
+    assert 400 <= taken[0].t <= 500  # 10 epochs of 50 batches, less the groups that the hash leaves empty
+    gains = [(r["after"] - r["before"]) / r["before"] for r in got]
+    assert len(got) == 20 and {round(r["avg_gain"], 6) for r in got} == {round(float(np.mean(gains)), 6)}
