@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from opswatch.llm.alignment import aligned_documents, load_vocabularies
+from opswatch.llm.byte_bpe import encoding_digests, load_bpe
 from opswatch.llm.common import table
 from opswatch.llm.context_mixing import score_texts
 from opswatch.llm.exact_dedup import EXACT_DEDUP_SQL, exact_duplicates
@@ -15,8 +17,10 @@ from opswatch.llm.ngram_join import NGRAM_JOIN_SQL, similar_components
 from opswatch.llm.pieces import decode, encode_samples, load_pieces
 from opswatch.llm.quality import fit_quality, score_quality
 from opswatch.llm.sharding import SHARDING_SQL, shard_documents
+from opswatch.llm.spelling import SPELLING_SQL, count_words, spelling_variants
 from opswatch.llm.toxicity import fit_chain, score_toxicity
 from opswatch.llm.vector_search import nearest_neighbours
+from opswatch.session import cut_lineage
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +81,21 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), path)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of two public tokenizers over every text."""
+    return aligned_documents(table(spark, sf_dir, "documents"), load_vocabularies())
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all texts with the commoner word it is a variant of."""
+    return spelling_variants(cut_lineage(count_words(table(spark, sf_dir, "documents"))))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids under a public byte-level vocabulary, and the bytes that they decode to, as digests."""
+    return encoding_digests(table(spark, sf_dir, "documents"), load_bpe())
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -88,6 +107,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_licences": op10_licences,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -95,4 +117,5 @@ ORACLES = {
     "op4_mixing": MIXING_SQL,
     "op7_ngram_join": NGRAM_JOIN_SQL,
     "op9_exact_dedup": EXACT_DEDUP_SQL,
+    "op12_spelling": SPELLING_SQL,
 }
