@@ -16,9 +16,10 @@ from opswatch.functions import to_number
 from opswatch.operators.arrow import matrix
 from opswatch.operators.partition_sums import partition_sums
 from opswatch.session import cut_lineage
+from opswatch.versions import publish, published
 
-# Distinct values whose weights, one row each, the driver and every task can hold.
-MAX_WIDTH = 200_000
+# The most frequent values, whose weights the driver and every task hold; the others stay a table.
+HEAD = 16_384
 MAX_PLAIN_VALUES = 1_000_000
 _SCALER = "mean array<double>, scale array<double>, n bigint"
 
@@ -125,24 +126,33 @@ def fit_onehot(
 
 @dataclass
 class FeatureModel:
-    """Fitted scaler of the numeric columns and vocabulary of the categorical ones."""
+    """Fitted scaler of the numeric columns and vocabulary of the categorical ones.
+
+    ``labels`` are each category's most frequent values, in text order, and ``positions`` their places in the feature vector. The
+    other values, if there are any, are the table ``tail``: ``category, value, j`` (its place), and ``width`` counts all places.
+    """
 
     numeric: list[str]
     categorical: list[str]
     mean: list[float]
     scale: list[float]
     labels: list[list[str]] = field(repr=False)
+    positions: list[list[int]] = field(repr=False)
+    width: int
+    tail: DataFrame | None = field(default=None, repr=False)
 
     @property
-    def width(self) -> int:
-        return len(self.numeric) + sum(len(v) for v in self.labels)
+    def head_positions(self) -> list[int]:
+        """Places of the numbers and of the values in ``labels``."""
+        return [*range(len(self.numeric)), *(p for places in self.positions for p in places)]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Add ``numbers`` (standardised) and ``hot`` (positions of the ones in the feature vector).
+        """Add ``numbers`` (standardised), ``hot`` (places of the ones among numbers and ``labels``) and ``rare``.
 
-        Numbers come first, then one block per category; a value not seen in fitting has no
-        position. The dense vector is never built here: a row holds as many positions as
-        categories, whatever the width.
+        Numbers come first, then one block per category. ``rare`` are ``category, value`` of the
+        values outside ``labels``: those of ``tail`` and those not seen in fitting, which have no
+        place. It is left out where there is no tail. The dense vector is never built: a row is as long as its categories, whatever
+        the width.
         """
         rows = select_features(df, self.numeric, self.categorical, keep)
         numbers = F.array(
@@ -159,66 +169,103 @@ class FeatureModel:
         indexer = StringIndexerModel.from_arrays_of_labels(
             self.labels, inputCols=self.categorical, outputCols=coded, handleInvalid="keep"
         )
-        positions, start = [], len(self.numeric)
-        for code, labels in zip(coded, self.labels):
+        positions, others, start = [], [], len(self.numeric)
+        for i, (name, code, labels) in enumerate(zip(self.categorical, coded, self.labels)):
             known = F.col(code) < len(labels)
             positions.append(F.when(known, (F.col(code) + start).cast("int")))
+            other = F.struct(F.lit(i).alias("category"), F.col(name).alias("value"))
+            others.append(F.when(~known, other))
             start += len(labels)
+        rare = F.filter(F.array(*others), lambda v: v.isNotNull())
         hot = F.filter(F.array(*positions), lambda i: i.isNotNull())
         return indexer.transform(rows).select(
-            *keep, numbers.alias("numbers"), hot.alias("hot")
-        )
+            *keep, numbers.alias("numbers"), hot.alias("hot"),
+            *([rare.alias("rare")] if self.tail is not None else []),
+        )
 
 
 def fit_features(
     df: DataFrame,
     numeric: Sequence[str] = tuple(schemas.NUMERIC_COLUMNS),
     categorical: Sequence[str] = tuple(schemas.CATEGORICAL_COLUMNS),
-    max_width: int = MAX_WIDTH,
+    head: int = HEAD,
 ) -> FeatureModel:
-    """Fit scaler and vocabulary of structured rows.
+    """Fit scaler and vocabulary of structured rows; any number of distinct values.
 
-    The model has one weight row per distinct value, so its width must fit the driver; it is
-    counted before anything is fetched. Columns of free text beyond that belong in the semantic
-    model, or ``categorical`` has to leave them out.
+    At most ``head`` values, the most frequent, reach the driver. The others stay a table, numbered by the same rule, so that ``head``
+    decides where a weight is kept and never what it is.
     """
     rows = select_features(df, numeric, categorical)
     numbers = F.array(*[F.col(c) for c in numeric]).cast("array<double>")
     fitted = fit_scaler(rows.select(numbers.alias("x")), "x").first() if numeric else None
     if numeric and fitted is None:
         raise ValueError("no rows to fit features on")
-    vocabulary = cut_lineage(fit_onehot(rows, categorical)) if categorical else None
     labels: list[list[str]] = [[] for _ in categorical]
-    if vocabulary is not None:
-        width = vocabulary.count()
-        if width > max_width:
-            raise ValueError(f"vocabulary has {width} values, more than max_width={max_width}")
-        for row in vocabulary.orderBy("column", "idx").collect():
-            labels[list(categorical).index(row["column"])].append(row["value"])
+    positions: list[list[int]] = [[] for _ in categorical]
+    width, tail = len(numeric), None
+    if categorical:
+        vocabulary = cut_lineage(fit_onehot(rows, categorical))
+        sizes = {r["column"]: r["count"] for r in vocabulary.groupBy("column").count().collect()}
+        starts, order = {}, {c: i for i, c in enumerate(categorical)}
+        for c in categorical:
+            starts[c] = width
+            width += sizes.get(c, 0)
+        # one entry per category
+        start = F.create_map(*[F.lit(x) for c in categorical for x in (c, starts[c])])
+        category = F.create_map(*[F.lit(x) for c in categorical for x in (c, order[c])])
+        placed = vocabulary.select(
+            category[F.col("column")].alias("category"), "value",
+            (F.col("idx") + start[F.col("column")]).alias("j"),
+        )
+        kept = placed
+        if width - len(numeric) > head:
+            counts = _value_counts(rows, categorical)
+            counted = placed.join(counts, ["category", "value"])
+            kept = cut_lineage(counted.orderBy(F.desc("n"), "j").limit(head).select("category", "value", "j"))
+            tail = cut_lineage(placed.join(F.broadcast(kept.select("j")), "j", "left_anti").select("category", "value", "j"))
+        for row in kept.orderBy("j").collect():
+            labels[row["category"]].append(row["value"])
+            positions[row["category"]].append(row["j"])
     return FeatureModel(
         numeric=list(numeric),
         categorical=list(categorical),
         mean=list(fitted["mean"]) if fitted else [],
         scale=list(fitted["scale"]) if fitted else [],
         labels=labels,
+        positions=positions,
+        width=width,
+        tail=tail,
+    )
+
+
+def _value_counts(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("category"), F.col(c).alias("value")) for i, c in enumerate(categorical)])
     )
+    return rows.select(pairs.alias("p")).groupBy("p.category", "p.value").agg(F.count("*").alias("n"))
 
 
 def save_features(model: FeatureModel, spark: SparkSession, path: str) -> None:
+    """A new version of the features beneath ``path``; readers keep the one they have."""
     schema = (
-        "numeric array<string>, categorical array<string>, mean array<double>, "
-        "scale array<double>, labels array<array<string>>"
+        "numeric array<string>, categorical array<string>, mean array<double>, scale array<double>, "
+        "labels array<array<string>>, positions array<array<long>>, width long"
     )
-    row = (model.numeric, model.categorical, model.mean, model.scale, model.labels)
-    spark.createDataFrame([row], schema).write.mode("overwrite").parquet(path)
+    row = (model.numeric, model.categorical, model.mean, model.scale, model.labels, model.positions, model.width)
+    parts = {"features": spark.createDataFrame([row], schema)}
+    publish(spark, path, parts | ({} if model.tail is None else {"tail": model.tail}))
 
 
-def load_features(spark: SparkSession, path: str) -> FeatureModel:
-    row = spark.read.parquet(path).first()
+def load_features(spark: SparkSession, path: str, version: int | None = None) -> FeatureModel:
+    parts = published(spark, path, version)
+    row = spark.read.parquet(parts["features"]).first()
     return FeatureModel(
         list(row["numeric"]),
         list(row["categorical"]),
         list(row["mean"]),
         list(row["scale"]),
         [list(v) for v in row["labels"]],
+        [list(v) for v in row["positions"]],
+        row["width"],
+        spark.read.parquet(parts["tail"]) if "tail" in parts else None,
     )

@@ -41,15 +41,18 @@ def partition_sums(
     At most ``FAN_IN`` vectors reach the driver, whatever the number of partitions, and fewer when
     ``size`` numbers in each of them would take more than ``DRIVER_BYTES``.
     """
-    most = max(1, min(FAN_IN, DRIVER_BYTES // (8 * size))) if size else FAN_IN
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = work(batches)
         if vector is not None:
             yield _pack(np.asarray(vector, dtype=np.float64))
 
-    parts = data.rdd.getNumPartitions()
-    sums = data.mapInArrow(run, _SCHEMA)
+    return vector_sum(data.mapInArrow(run, _SCHEMA), size)
+
+
+def vector_sum(sums: DataFrame, size: int = 0) -> np.ndarray | None:
+    """Sum of a column of packed number vectors, by the same steps; None without rows."""
+    most = max(1, min(FAN_IN, DRIVER_BYTES // (8 * size))) if size else FAN_IN
+    parts = sums.rdd.getNumPartitions()
     while parts > most:
         parts = max(1, -(-parts // FAN_IN)) if parts > FAN_IN else most
         sums = sums.repartition(parts).mapInArrow(_add, _SCHEMA)

@@ -22,14 +22,14 @@ from opswatch.operators.autoencoder import (
 from opswatch.operators.encode import FACTOR, encode
 from opswatch.operators.envelope import parse_envelope, route_structured, semantic_rows
 from opswatch.operators.evaluation import rca_gain
-from opswatch.operators.features import fit_features, fit_scaler, valid_embeddings
+from opswatch.operators.features import fit_scaler, valid_embeddings
 from opswatch.operators.labels import rule_labels
 from opswatch.operators.projection import SECOND_TRAINING, fit_projection
 from opswatch.operators.rootcause import cosine_topk, rca_pairs, rca_scores
 from opswatch.operators.scoring import (
     SemanticBundle,
-    StructuredBundle,
     evaluate,
+    fit_structured,
     score_events,
     score_vectors,
 )
@@ -164,9 +164,7 @@ def _semantic_model(source, dim=schemas.EMBEDDING_DIM):
 
 
 def _structured_model(source):
-    routed = cut_lineage(route_structured(parse_envelope(source)))
-    features = fit_features(routed)
-    return StructuredBundle(fit_autoencoder(routed, features=features, mode="fullbatch")[0], features)
+    return fit_structured(cut_lineage(route_structured(parse_envelope(source))))[0]
 
 
 def scored_events(spark, sf_dir):
@@ -182,9 +180,7 @@ def structured_scores(spark, sf_dir):
     source = _event_rows(spark, sf_dir)
     bundle = _structured_model(source)
     routed = route_structured(parse_envelope(source, keep=("event_id",)), keep=("event_id",))
-    rows = bundle.features.transform(routed, keep=["event_id"])
-    error = reconstruction_mse(spark, bundle.model, "numbers", "hot")
-    return rows.select("event_id", F.round(error, 6).alias("mse"))
+    return bundle.errors(routed, keep=["event_id"]).select("event_id", F.round("mse", 6).alias("mse"))
 
 
 def detector_comparison(spark, sf_dir):

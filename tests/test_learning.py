@@ -81,8 +81,11 @@ def test_feature_rows(spark, tmp_path):
     found = again.transform(unseen).collect()
     assert [r.numbers for r in found[:4]] == [pytest.approx([v, 0.0]) for v in (n - n.mean()) / n.std()]
     assert [r.hot for r in found] == [[3, 5], [2, 5], [4, 5], [3, 5], [5]]
-    with pytest.raises(ValueError, match="max_width"):
-        fit_features(df, ["n"], ["c"], max_width=2)
+    # the tie for the second place goes to the earlier value
+    few = fit_features(df, ["n"], ["c"], head=2)
+    assert few.labels == [["unknown", "x"]] and few.head_positions == [0, 1, 2] and few.width == 4
+    assert [tuple(r) for r in few.tail.collect()] == [(0, "y", 3)]
+    assert few.transform(unseen).collect()[2].rare == [(0, "y")]
 
 
 def test_missing_features_get_defaults(spark):
