@@ -109,6 +109,94 @@ def counter_rate(
     return grown.withColumn(out, F.col("__inc") / F.lit(float(window))).drop("__inc")
 
 
+def counter_on_grid(
+    samples: DataFrame,
+    series: Sequence[str],
+    ts: str = "ts",
+    value: str = "value",
+    window: float = 30.0,
+    step: float = 5.0,
+    out: str = "increase",
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Growth of a counter over the ``window`` seconds up to each evaluation instant, by the rules of ``counter_increase``.
+
+    Instants are the multiples of ``step``; a series is evaluated where it has a sample in the (left-open) range, and ``value`` is the
+    last one. A sample answers the instants from its own time until the next sample, or until it
+    leaves the range: at most ``window / step`` of them, so nothing is joined. The first sample of each range is found by
+    walking range starts and samples in one order. ``out`` over ``window`` is the rate.
+    """
+    rows, bounds = _cumulative(samples, series, ts, value, target_rows)
+    span, width = _seconds(window), _seconds(step)
+    rows = running_last(rows, series, [_AT], F.col(_AT), "__next", bounds, inclusive=False, reverse=True)
+    ends = F.least(F.col(_AT) + span, F.coalesce("__next", F.col(_AT) + span)) - 1
+    first = F.ceil(F.col(_AT) / F.lit(width)).cast("bigint")
+    last = F.floor(ends / F.lit(width)).cast("bigint")
+    instants = rows.where(first <= last).select(
+        *series, F.explode(F.sequence(first, last)).alias("__k"), "__v", "__cum"
+    )
+    starts = instants.select(
+        *series,
+        (F.col("__k") * width - span).alias("pos"),
+        F.lit(1).alias("role"),
+        F.lit(None).cast("double").alias("first"),
+        (F.col("__k") * width).alias(_AT),
+        "__v",
+        "__cum",
+    )
+    # Samples sort before range starts at the same time: a sample on the start is outside.
+    seen = rows.select(
+        *series,
+        F.col(_AT).alias("pos"),
+        F.lit(0).alias("role"),
+        F.col("__cum").alias("first"),
+        _AT,
+        "__v",
+        "__cum",
+    )
+    filled = running_last(
+        seen.unionByName(starts), series, ["pos", "role"], F.col("first"), "__first", bounds, reverse=True
+    )
+    return filled.where(F.col("role") == 1).select(
+        *series,
+        from_micros(F.col(_AT)).alias(ts),
+        F.col("__v").alias(value),
+        (F.col("__cum") - F.col("__first")).alias(out),
+    )
+
+
+def rule_states(
+    requests: DataFrame,
+    errors: DataFrame,
+    up: DataFrame,
+    series: Sequence[str],
+    ts: str = "ts",
+    value: str = "value",
+    window: float = 30.0,
+    step: float = 5.0,
+    for_: float = 5.0,
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """The three standing alerts on one evaluation grid: ``alert``, series, ``ts``, ``state``, ``active_since``.
+
+    A counter of ``requests`` that grows, a counter of ``errors`` whose rate is above zero, and a
+    target whose last ``up`` sample is 0; each fires once it holds for ``for_`` seconds.
+    """
+    grown = counter_on_grid(requests, series, ts, value, window, step, "__x", target_rows)
+    rate = counter_on_grid(errors, series, ts, value, window, step, "__x", target_rows)
+    down = target_down(up, series, ts, value, step)
+    conditions = [
+        # The alerts' names.
+        ("HighCPUUsage", grown.withColumn("__on", F.col("__x") > 0)),
+        ("HighErrorRate", rate.withColumn("__on", F.col("__x") / F.lit(float(window)) > 0)),
+        ("ServiceDown", down.withColumn("__on", F.col("down"))),
+    ]
+    found = [rows.select(F.lit(name).alias("alert"), *series, ts, F.col("__on").alias("holds")) for name, rows in conditions]
+    grid = found[0].unionByName(found[1]).unionByName(found[2])
+    states = alert_states(grid, F.col("holds"), ["alert", *series], ts, for_, step, target_rows)
+    return states.select("alert", *series, ts, "state", "active_since")
+
+
 def evaluate_on_grid(
     samples: DataFrame,
     series: Sequence[str],

@@ -12,8 +12,10 @@ from opswatch.operators.alerts import (
     alert_recovery,
     alert_states,
     counter_increase,
+    counter_on_grid,
     counter_rate,
     evaluate_on_grid,
+    rule_states,
     target_down,
 )
 from opswatch.operators.episodes import anomaly_episodes, first_detection, last_valid
@@ -44,6 +46,33 @@ def rate_per_user(spark, sf_dir):
     return _us(found.withColumn("rate", F.round("rate", 8)), ts_us="ts")
 
 
+#: A minute's worth of the published settings (30 s back, every 5 s, for 5 s) is five hours here.
+GRID = {"window": 6 * HOUR, "step": HOUR}
+
+
+def counter_samples(events_df):
+    """Event values as restarting counters, one per type and group of users."""
+    group = (F.col("user_id") % 20).alias("instance")
+    return events_df.select("event_type", group, "ts", "value", "k")
+
+
+def grid_increase(spark, sf_dir):
+    """Growth of each counter at every hour that has a sample in the six before it."""
+    found = counter_on_grid(counter_samples(events(spark, sf_dir)), ["event_type", "instance"], **GRID)
+    return _us(found.withColumn("increase", F.round("increase", 4)), ts_us="ts")
+
+
+def alert_rules(spark, sf_dir):
+    """The three alert rules end to end, each over its own kind of sample."""
+    rows = counter_samples(events(spark, sf_dir))
+    kind = F.col("event_type")
+    up = rows.where(kind == "view").withColumn("value", (F.col("k") >= 30).cast("double"))
+    found = rule_states(
+        rows.where(kind == "click"), rows.where((kind == "error") & (F.col("k") % 2 == 0)), up, ["instance"], for_=HOUR, **GRID
+    )
+    return _us(found, ts_us="ts", active_since_us="active_since")
+
+
 def down_targets(spark, sf_dir):
     up = events(spark, sf_dir).withColumn("up", (F.col("k") >= 30).cast("double"))
     found = target_down(up, ["event_type"], value="up", step=HOUR)
@@ -144,6 +173,8 @@ def detection_average(spark, sf_dir):
 QUERIES = {
     "counter_increase": increase_per_type,
     "counter_rate": rate_per_user,
+    "counter_on_grid": grid_increase,
+    "alert_rules": alert_rules,
     "target_down": down_targets,
     "alert_states": hourly_states,
     "alert_recovery": recoveries,
@@ -170,6 +201,34 @@ f AS (SELECT *, first_value(cum) OVER (PARTITION BY {key} ORDER BY t
 SELECT {key}, t AS ts_us, v AS value, round((cum - base){scale}, {digits}) AS {out} FROM f"""
 
 
+def _grid_sql(n: str, where: str) -> str:
+    """``g<n>(event_type, instance, t, value, increase)`` on the hours, by joining every hour with the samples of its range."""
+    return f"""u{n} AS (
+  SELECT event_type, user_id % 20 AS instance, epoch_us(ts) AS t, max(value) AS v FROM e WHERE {where} GROUP BY 1, 2, 3),
+l{n} AS (SELECT *, lag(v) OVER (PARTITION BY event_type, instance ORDER BY t) AS p FROM u{n}),
+c{n} AS (SELECT *, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS delta FROM l{n}),
+at{n} AS (
+  SELECT DISTINCT event_type, instance, (CAST(ceil(t / 3600000000) AS BIGINT) + h) * 3600000000 AS due
+  FROM u{n} CROSS JOIN (SELECT unnest(range(6)) AS h) WHERE (CAST(ceil(t / 3600000000) AS BIGINT) + h) * 3600000000 < t + 21600000000),
+g{n} AS (
+  SELECT event_type, instance, due AS t, arg_max(v, c.t) AS value, sum(delta) - arg_min(delta, c.t) AS increase
+  FROM at{n} JOIN c{n} c USING (event_type, instance) WHERE c.t > due - 21600000000 AND c.t <= due GROUP BY 1, 2, 3)"""
+
+
+_RULES = f"""{SQL_EVENTS},
+{_grid_sql("1", "event_type = 'click'")},
+{_grid_sql("2", "event_type = 'error' AND k % 2 = 0")},
+cond AS (
+  SELECT 'HighCPUUsage' AS alert, instance, t, increase > 0 AS c FROM g1
+  UNION ALL SELECT 'HighErrorRate', instance, t, increase / 21600.0 > 0 FROM g2
+  UNION ALL SELECT 'ServiceDown', user_id % 20, CAST(ceil(epoch_us(ts) / 3600000000) AS BIGINT) * 3600000000, arg_max(k < 30, ts)
+  FROM e WHERE event_type = 'view' GROUP BY 1, 2, 3),
+o AS (SELECT *, lag(c) OVER w AS pc, lag(t) OVER w AS pt FROM cond WINDOW w AS (PARTITION BY alert, instance ORDER BY t)),
+i AS (SELECT *, max(CASE WHEN pc IS NULL OR pc <> c OR t - pt > 3600000000 THEN t END)
+        OVER (PARTITION BY alert, instance ORDER BY t) AS since FROM o),
+st AS (SELECT alert, instance, t, CASE WHEN NOT c THEN 'inactive' WHEN t - since >= 3600000000 THEN 'firing' ELSE 'pending' END AS state,
+              CASE WHEN c THEN since END AS active_since_us FROM i)"""
+
 _GRID = """g AS (
   SELECT event_type, CAST(ceil(epoch_us(ts) / 3600000000) AS BIGINT) * 3600000000 AS t,
          arg_max(value, ts) AS value
@@ -237,6 +296,10 @@ times AS (
 ORACLES = {
     "counter_increase": _growth_sql("event_type", 6, "increase", 4, ""),
     "counter_rate": _growth_sql("user_id", 24, "rate", 8, " / 86400.0"),
+    "counter_on_grid": f"""WITH {SQL_EVENTS},
+{_grid_sql("1", "true")}
+SELECT event_type, instance, t AS ts_us, value, round(increase, 4) AS increase FROM g1""",
+    "alert_rules": f"WITH {_RULES} SELECT alert, instance, t AS ts_us, state, active_since_us FROM st",
     "target_down": f"""WITH {SQL_EVENTS}
 SELECT event_type, CAST(ceil(epoch_us(ts) / 3600000000) AS BIGINT) * 3600000000 AS ts_us,
        CAST(arg_max(CASE WHEN k >= 30 THEN 1 ELSE 0 END, ts) AS DOUBLE) AS up,

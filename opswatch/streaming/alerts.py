@@ -115,6 +115,119 @@ def alert_transitions(
     )
 
 
+def counter_growth(
+    samples: DataFrame,
+    series: Sequence[str],
+    ts: str = "ts",
+    value: str = "value",
+    window: float = 30.0,
+    step: float | None = 5.0,
+    out: str = "increase",
+    late: str = "30 seconds",
+) -> DataFrame:
+    """A stream of counter samples to the growth over the ``window`` seconds up to each evaluation instant.
+
+    With ``step`` the rows are those of ``counter_on_grid``, without it those of ``counter_increase`` (one per sample), and they do
+    not depend on how samples come in batches: a sample is held until the watermark has passed it, and an
+    instant is evaluated once nothing at or before it can still come. State per series is the samples that a coming instant can
+    still reach, a ring of ``window`` seconds; a timer on event time evaluates the instants after a series' last sample and
+    then removes its state. ``series`` are text in the result.
+    """
+    span, width = round(window * SECOND), None if step is None else round(step * SECOND)
+    names = list(series)
+    out_schema = T.StructType(
+        [T.StructField(n, T.StringType()) for n in names]
+        + [T.StructField("at", T.LongType()), T.StructField("last", T.DoubleType()), T.StructField("grown", T.DoubleType())]
+    )
+    kept = T.StructType(
+        [
+            T.StructField("upto", T.LongType()),
+            T.StructField("at", T.ArrayType(T.LongType())),
+            T.StructField("value", T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+    def run(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        upto, at, values = None, [np.empty(0, np.int64)], [np.empty(0)]
+        if state.exists:
+            upto, old_at, old_values = state.get
+            at.append(np.asarray(old_at, np.int64))
+            values.append(np.asarray(old_values, float))
+        if not state.hasTimedOut:
+            for rows in batches:
+                at.append(rows["at"].to_numpy(np.int64))
+                values.append(rows["value"].to_numpy(float))
+        at, values = _unique_samples(np.concatenate(at), np.concatenate(values))
+        passed = state.getCurrentWatermarkMs() * 1000
+        due = _due_instants(at, upto, passed, span, width)
+        if len(due):
+            upto = int(due[-1])
+        found = _growth(at, values, due, span)
+        # what a coming instant can reach: later than the range of the first one not yet evaluated
+        following = passed if width is None else -(-passed // width) * width
+        reachable = at > following - span
+        at, values = at[reachable], values[reachable]
+        if len(at):
+            state.update((upto, at.tolist(), values.tolist()))
+            coming = int(at[0]) if width is None else int(max(following, -(-int(at[0]) // width) * width))
+            waiting = int(at[np.searchsorted(at, passed)]) if int(at[-1]) >= passed else int(at[-1]) + span
+            timer = waiting if width is None else coming
+            state.setTimeoutTimestamp(max(timer // 1000, passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if len(found):
+            for i, n in enumerate(names):
+                found.insert(i, n, key[i])
+            yield found
+
+    timed = samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = timed.select(
+        *[F.col(n).cast("string").alias(n) for n in names],
+        F.col(ts).alias("instant"),  # carries the watermark
+        micros(F.col(ts)).alias("at"),
+        F.col(value).cast("double").alias("value"),
+    )
+    grown = rows.groupBy(*names).applyInPandasWithState(
+        run, out_schema, kept, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return grown.select(*names, from_micros(F.col("at")).alias(ts), F.col("last").alias(value), F.col("grown").alias(out))
+
+
+def _unique_samples(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples in time order, of one time the largest."""
+    order = np.lexsort((values, at))
+    at, values = at[order], values[order]
+    last = np.append(at[1:] != at[:-1], True) if len(at) else np.empty(0, bool)
+    return at[last], values[last]
+
+
+def _due_instants(at: np.ndarray, upto: int | None, passed: int, span: int, width: int | None) -> np.ndarray:
+    """Instants after ``upto`` that the watermark has passed and whose range holds a sample."""
+    if not len(at):
+        return at
+    if width is None:
+        due = at[at < passed]
+    else:
+        first = -(-at // width)
+        last = np.minimum((at + span - 1) // width, (passed - 1) // width)
+        counts = np.maximum(last - first + 1, 0)
+        ends = np.cumsum(counts)
+        steps = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts)
+        due = np.unique((np.repeat(first, counts) + steps) * width)
+    return due if upto is None else due[due > upto]
+
+
+def _growth(at: np.ndarray, values: np.ndarray, due: np.ndarray, span: int) -> pd.DataFrame:
+    """Last value and growth in the left-open range of ``span`` up to each instant."""
+    drop = np.diff(values, prepend=values[:1]) if len(values) else values
+    grown = np.cumsum(np.where(drop < 0, values, drop)) if len(values) else values
+    first = np.searchsorted(at, due - span, side="right")
+    last = np.searchsorted(at, due, side="right") - 1
+    return pd.DataFrame({"at": due, "last": values[last], "grown": grown[last] - grown[first]})
+
+
 def anomaly_sessions(
     anomalies: DataFrame,
     keys: Sequence[str] = (),
