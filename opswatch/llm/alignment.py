@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +15,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opswatch.llm.byte_bpe import text_chunks
+from opswatch.llm.byte_bpe import ranges, text_chunks
 from opswatch.llm.common import BROADCAST_BYTES
 from opswatch.session import cut_lineage
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text aligned together; a longer text is taken alone and whole.
 _BYTES = 1 << 21
-#: Bytes of a long text that a tokenizer gets at once, up to the next place where neither merges across.
-_WINDOW = 1 << 18
+#: Segments that a tokenizer gets at once.
+_CALL = 4_096
+#: Bytes of distinct segments that a task keeps over its batches.
+_KEPT_BYTES = 1 << 24
 #: Tokens of the first kind in a lane; longer documents advance in several lanes at once.
 _LANE = 256
 _MARK = "▁"  # fixed value: SentencePiece's mark of a space
+#: Where neither tokenizer merges across: a space after something else, but for one at the very end.
 _BREAK = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
 
 
@@ -115,6 +119,22 @@ def lockstep_cuts(a: Tokens, b: Tokens, lane: int = _LANE) -> tuple[np.ndarray,
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
+class Segments:
+    """Tokenized segments: a number for each, and its ids on either side as a range of one array."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+        self.sides = [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
+        self.exact, self.n_bytes = np.empty(0, bool), 0
+
+    def add(self, side: int, found: list[list[int]]) -> None:
+        flat, starts, lengths = self.sides[side]
+        more = np.array(list(map(len, found)), np.int64)
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.int32, int(more.sum()))])
+        lengths = np.concatenate([lengths, more])
+        self.sides[side] = flat, np.cumsum(lengths) - lengths, lengths
+
+
 class Aligner:
     """Tokenizes and aligns batches of texts in a task."""
 
@@ -127,37 +147,56 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.pieces)
         self.bytes = vocabularies.a_bytes, vocabularies.b_bytes
+        self.kept = Segments()
         self.sizes = tuple(np.array([len(t) for t in tokens], np.int64) for tokens in self.bytes)
         # no piece goes on over a space, so a text may be cut before one
         self.breaks = not any(re.search(rb"[^ ] ", t) for t in vocabularies.b_bytes)
 
-    def windows(self, text: str) -> Iterator[str]:
-        """Parts of a long text that both tokenizers treat as they treat the whole."""
-        start = 0
-        while self.breaks and len(text) - start > _WINDOW:
-            found = _BREAK.search(text, start + _WINDOW)
-            if found is None:
-                break
-            yield text[start : found.start()]
-            start = found.start()
-        yield text[start:]
-
-    def tokenize(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of a space and the text under A, and of the text under B, if both have its bytes; else nothing."""
-        spaced = " " + text
-        a, b = [], []
-        for part in self.windows(spaced):
-            a.append(np.array(self.a.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.int32))
-            b.append(np.array(self.b.encode(part[1:], num_threads=1), np.int32))
-        both = np.concatenate(a), np.concatenate(b)
-        raw = spaced.encode()
-        if any(b"".join(map(tokens.__getitem__, ids.tolist())) != raw for tokens, ids in zip(self.bytes, both)):
-            return None
-        return both
+    def segments(self, text: str) -> list[str]:
+        """Parts of a text, each from a space on, that both tokenizers treat as they treat the whole."""
+        return _BREAK.split(text) if self.breaks else [text]
+
+    def tokenize(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of a space and each text under A, and of the text under B, if both have its bytes; else nothing.
+
+        Words recur, so distinct segments are tokenized once, kept over the batches of a task up to a bound, and put together again.
+        """
+        if self.kept.n_bytes > _KEPT_BYTES:
+            self.kept = Segments()
+        kept, known = self.kept, len(self.kept.seen)
+        seen = kept.seen
+        codes = [np.array([seen.setdefault(s, len(seen)) for s in self.segments(text)], np.int64) for text in texts]
+        new = [" " + s for s in islice(reversed(seen), len(seen) - known)][::-1]
+        exact = np.ones(len(new), bool)
+        for i, found in enumerate((self._encoded_a(new), self._encoded_b(new))):
+            tokens = self.bytes[i].__getitem__
+            exact &= np.fromiter((b"".join(map(tokens, ids)) == s.encode() for ids, s in zip(found, new)), bool, len(new))
+            kept.add(i, found)
+        kept.exact = np.concatenate([kept.exact, exact])
+        kept.n_bytes += 64 * len(new) + sum(map(len, new))
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, code in zip(texts, codes):
+            both = tuple(flat[ranges(starts[code], lengths[code])] for flat, starts, lengths in kept.sides)
+            whole = kept.exact[code].all() or self._whole(both, (" " + text).encode())
+            out.append(both if text and whole else None)
+        return out
+
+    def _encoded_a(self, spaced: list[str]) -> list[list[int]]:
+        return [
+            e.ids
+            for start in range(0, len(spaced), _CALL)
+            for e in self.a.encode_batch_fast(spaced[start : start + _CALL], add_special_tokens=False)
+        ]
+
+    def _encoded_b(self, spaced: list[str]) -> list[list[int]]:
+        return self.b.encode([s[1:] for s in spaced], num_threads=1)
+
+    def _whole(self, both: tuple[np.ndarray, np.ndarray], raw: bytes) -> bool:
+        return all(b"".join(map(tokens.__getitem__, ids.tolist())) == raw for tokens, ids in zip(self.bytes, both))
 
     def align(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray] | None], Tokens, Tokens, np.ndarray, np.ndarray]:
         """Ids of each text (None: no tokens), and the tokens and cuts of all texts that have some."""
-        found = [self.tokenize(t) if t else None for t in texts]
+        found = self.tokenize(texts)
         tokens = []
         for side in (0, 1):
             ids = [pair[side] for pair in found if pair is not None]
@@ -173,19 +212,22 @@ class GroupTexts:
     def __init__(self, sizes: tuple[int, int]):
         self.names = [f"{i}{end}" for i in range(max(sizes)) for end in ",|;"]
 
-    def text(self, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> str:
-        """``a``, ``b``: the ids of a document; the cuts are places in them."""
-        a_group = np.searchsorted(a_cuts, np.arange(len(a)))
-        b_group = np.searchsorted(b_cuts, np.arange(len(b)))
-        out = np.empty(len(a) + len(b), np.int64)
-        a_end, b_end = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    def parts(self, a: Tokens, b: Tokens, a_cuts: np.ndarray, b_cuts: np.ndarray) -> list[int]:
+        """What follows what: a number for each token of either side, whose name is the id and what comes after it."""
+        a_end, b_end = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
         a_end[a_cuts], b_end[b_cuts] = 1, 2
+        a_group = np.cumsum(a_end) - a_end
+        b_group = (np.cumsum(b_end) - b_end) >> 1
         # before a token of A stand the B tokens of earlier groups, before one of B the A tokens up to its group
         b_before = np.concatenate([[0], b_cuts + 1])
-        a_upto = a_cuts + 1
-        out[np.arange(len(a)) + b_before[a_group]] = a.astype(np.int64) * 3 + a_end
-        out[np.arange(len(b)) + a_upto[b_group]] = b.astype(np.int64) * 3 + b_end
-        return "".join(map(self.names.__getitem__, out.tolist()))[:-1]
+        out = np.empty(len(a.ids) + len(b.ids), np.int64)
+        out[np.arange(len(a.ids)) + b_before[a_group]] = a.ids.astype(np.int64) * 3 + a_end
+        out[np.arange(len(b.ids)) + (a_cuts + 1)[b_group]] = b.ids.astype(np.int64) * 3 + b_end
+        return out.tolist()
+
+    def text(self, parts: list[int]) -> str:
+        """The groups of the document with these parts."""
+        return "".join(map(self.names.__getitem__, parts))[:-1]
 
 
 # --- documents --------------------------------------------------------------------------------
@@ -211,6 +253,7 @@ def _aligned_chunks(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
             found, a, b, a_cuts, b_cuts = aligner.align(texts)
             codes = a.ids[a_cuts].astype(np.int64) << 32 | b.ids[b_cuts]
             pairs, places, times = np.unique(codes, return_inverse=True, return_counts=True)
+            parts = texts_of.parts(a, b, a_cuts, b_cuts)
             n_a, n_b, n_links, digests = [], [], [], []
             a_from = b_from = cut_from = 0
             for pair in found:
@@ -218,8 +261,7 @@ def _aligned_chunks(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
                 upto = int(np.searchsorted(a_cuts, a_from + na))
                 digest = ""
                 if na:
-                    cuts = slice(cut_from, upto)
-                    groups = texts_of.text(*pair, a_cuts[cuts] - a_from, b_cuts[cuts] - b_from)
+                    groups = texts_of.text(parts[a_from + b_from : a_from + b_from + na + nb])
                     digest = hashlib.sha256(groups.encode()).hexdigest()
                 n_a.append(na)
                 n_b.append(nb)

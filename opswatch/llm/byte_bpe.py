@@ -249,14 +249,14 @@ class Encoder:
         lengths = np.array([len(ids) for ids in merged], np.int64)
         starts = np.cumsum(lengths) - lengths
         flat = np.concatenate(merged) if merged else np.empty(0, np.int32)
-        return [flat[_ranges(starts[c], lengths[c])] for c in codes]
+        return [flat[ranges(starts[c], lengths[c])] for c in codes]
 
 
 def _whole(match) -> str:
     return match[0]
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0

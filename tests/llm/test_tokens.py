@@ -139,14 +139,16 @@ def test_alignment_of_the_table(spark, sf):
     assert table(aligned_documents(frame, load_vocabularies())) == table(spark.createDataFrame(brute_alignment(short), _COLUMNS))
 
 
-def test_windows_leave_the_tokens_of_a_long_text(spark, monkeypatch):
-    from opswatch.llm import alignment
+def test_segments_leave_the_tokens_of_a_text():
+    from opswatch.llm.alignment import Aligner
 
     text = " ".join(f"word{i % 97}  and\n {i * 7919} don't " for i in range(4000)) + " "
-    whole = alignment.Aligner(load_vocabularies()).tokenize(text)
-    monkeypatch.setattr(alignment, "_WINDOW", 50)
-    parts = alignment.Aligner(load_vocabularies()).tokenize(text)
-    assert all(np.array_equal(x, y) for x, y in zip(whole, parts))
+    cut, whole = Aligner(load_vocabularies()), Aligner(load_vocabularies())
+    assert cut.breaks
+    whole.breaks = False
+    for one, other in zip(cut.tokenize([text, *ODD]), whole.tokenize([text, *ODD]), strict=True):
+        assert (one is None) == (other is None)
+        assert one is None or all(np.array_equal(x, y) for x, y in zip(one, other))
 
 
 @settings(max_examples=100, deadline=None)
