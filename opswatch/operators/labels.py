@@ -109,3 +109,15 @@ def new_feedback(current: DataFrame, processed: DataFrame | None, line: str = "v
     if processed is None:
         return fresh
     return fresh.join(processed.select(line).distinct(), line, "left_anti")
+
+
+def new_feedback_stream(
+    lines: DataFrame, ts: str = "timestamp", line: str = "value", remember: str = "7 days"
+) -> DataFrame:
+    """A stream of feedback lines, each once: its state is kept by the hash of the line for ``remember`` of event time, then removed.
+
+    A restart from the checkpoint goes on with that state. Lines older than ``remember`` behind the newest are late and left out.
+    """
+    timed = lines.where(F.trim(F.col(line)) != "").withColumn(ts, F.col(ts).cast("timestamp"))
+    keyed = timed.withColumn("__line", F.sha2(F.col(line), 256)).withWatermark(ts, remember)
+    return keyed.dropDuplicatesWithinWatermark(["__line"]).drop("__line")

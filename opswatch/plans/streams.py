@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from opswatch import schemas
 from opswatch.functions import micros
+from opswatch.operators.autoencoder import save_model
 from opswatch.operators.envelope import parse_envelope, route_structured, semantic_rows
 from opswatch.operators.labels import rule_labels
 from opswatch.plans.events import ORACLES as EVENT_SQL
-from opswatch.plans.tables import envelopes
-from opswatch.plans.timing import _STATES, HOUR, _episodes_sql
+from opswatch.plans.tables import SQL_EVENTS, envelopes
+from opswatch.plans.timing import _STATES, GRID, HOUR, _episodes_sql, _grid_sql, counter_samples
+from opswatch.plans.timing import ORACLES as TIMING_SQL
+from opswatch.plans.vectors import encode_sql, network_sql, tier_sql, written_network
 from opswatch.session import ensure_checkpoint_dir
 from opswatch.sources import read_structured, start_sink
-from opswatch.streaming.alerts import alert_transitions, anomaly_sessions
+from opswatch.streaming.alerts import alert_transitions, anomaly_sessions, counter_growth
 from opswatch.streaming.collect import collect_until
+from opswatch.streaming.scoring import read_anomalies, score_stream
 
 _ONCE = {"availableNow": True}
 
@@ -168,14 +172,95 @@ def stream_sessions(spark, sf_dir):
     )
 
 
+#: Of the written network over texts; about half of the events are above it.
+_THRESHOLD = 0.066
+
+
+def stream_scores(spark, sf_dir):
+    """Events scored as a stream by a published model, and the anomaly log read back."""
+    folder = _folder(spark)
+    save_model(written_network(schemas.EMBEDDING_DIM, _THRESHOLD), spark, f"{folder}/models")
+    events = envelopes(_event_stream(spark, sf_dir))
+    query = score_stream(
+        events, f"{folder}/models", f"{folder}/log", f"{folder}/state", keep=("event_id",), trigger=_ONCE
+    )
+    query.awaitTermination()
+    found = read_anomalies(spark, f"{folder}/log", "event_id long")
+    return found.select("event_id", "source_type", "semantic_text", "prediction", "mse", "threshold")
+
+
+def _counters(spark, sf_dir) -> str:
+    """Event values as counters on the hourly grid, worked out as a stream."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
+    schema = f"event_type string, instance long, ts {kind}, value double, k int"
+
+    def grown(marks: DataFrame) -> DataFrame:
+        samples = counter_samples(_event_stream(spark, sf_dir, maxFilesPerTrigger="1"))
+        return counter_growth(
+            samples.unionByName(marks), ["event_type", "instance"], late=_NEVER_LATE, **GRID
+        )
+
+    end = f"'' AS event_type, 0L AS instance, TIMESTAMP'{_END}' AS ts, 0D AS value, 0 AS k"
+    return _run_closed(spark, grown, schema, end)
+
+
+def stream_counters(spark, sf_dir):
+    """The rows of the batch grid, from a stream."""
+    found = spark.read.parquet(_counters(spark, sf_dir))
+    return found.select(
+        "event_type", F.col("instance").cast("long").alias("instance"), micros(F.col("ts")).alias("ts_us"),
+        "value", F.round("increase", 4).alias("increase"),
+    )
+
+
+def stream_counter_alerts(spark, sf_dir):
+    """Changes of the alert "the counter grows" of each series, from the stream of counters."""
+    path = _counters(spark, sf_dir)
+    schema = "series string, ts timestamp, increase double"
+
+    def changes(marks: DataFrame) -> DataFrame:
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        series = F.concat_ws("/", "event_type", "instance").alias("series")
+        rows = stream.select(series, "ts", "increase").unionByName(marks)
+        return alert_transitions(
+            rows, F.col("increase") > 0, "series", for_=HOUR, step=HOUR, cooldown_checks=3, late=_NEVER_LATE
+        )
+
+    end = f"'' AS series, TIMESTAMP'{_END}' AS ts, 0D AS increase"
+    found = spark.read.parquet(_run_closed(spark, changes, schema, end))
+    return found.select("series", micros(F.col("ts")).alias("ts_us"), "state")
+
+
 QUERIES = {
     "stream_structured": stream_structured,
     "stream_semantic": stream_semantic,
     "stream_labelled": stream_labelled,
     "stream_alerts": stream_alerts,
     "stream_sessions": stream_sessions,
+    "stream_scores": stream_scores,
+    "stream_counters": stream_counters,
+    "stream_counter_alerts": stream_counter_alerts,
 }
 
+
+def _changes_sql(key: str) -> str:
+    """Changes of ``st(key, t, state)``, and recoveries after three evaluations without firing."""
+    return f"""c AS (SELECT {key}, t, state,
+             lag(state, 1, 'inactive') OVER (PARTITION BY {key} ORDER BY t) AS before FROM st),
+b AS (SELECT {key}, t, state = 'firing' AS f FROM st),
+q AS (SELECT *, lag(f) OVER (PARTITION BY {key} ORDER BY t) AS pf FROM b),
+r AS (SELECT *, sum(CASE WHEN pf IS NULL OR pf <> f THEN 1 ELSE 0 END)
+        OVER (PARTITION BY {key} ORDER BY t) AS run FROM q),
+runs AS (SELECT {key}, run, f, count(*) AS n FROM r GROUP BY {key}, run, f),
+ep AS (SELECT *, count(*) FILTER (WHERE NOT f AND n >= 3) OVER (PARTITION BY {key} ORDER BY run
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM runs),
+rec AS (SELECT {key}, min(run) FILTER (WHERE NOT f AND n >= 3) AS run FROM ep
+        GROUP BY {key}, e HAVING count(*) FILTER (WHERE f) > 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY {key}, run ORDER BY t) AS nth FROM r)
+SELECT {key}, t AS ts_us, state FROM c WHERE state <> before
+UNION ALL SELECT {key}, t, 'recovered' FROM num JOIN rec USING ({key}, run) WHERE nth = 3"""
+
+
 ORACLES = {
     "stream_structured": EVENT_SQL["route_structured_counts"],
     "stream_semantic": EVENT_SQL["semantic_text"],
@@ -183,20 +268,23 @@ ORACLES = {
 p AS ({EVENT_SQL["parse_envelope"]})
 SELECT source_type, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS anomalies
 FROM l JOIN p USING (event_id) GROUP BY source_type""",
-    "stream_alerts": f"""WITH {_STATES},
-c AS (SELECT event_type, t, state,
-             lag(state, 1, 'inactive') OVER (PARTITION BY event_type ORDER BY t) AS before FROM st),
-b AS (SELECT event_type, t, state = 'firing' AS f FROM st),
-q AS (SELECT *, lag(f) OVER (PARTITION BY event_type ORDER BY t) AS pf FROM b),
-r AS (SELECT *, sum(CASE WHEN pf IS NULL OR pf <> f THEN 1 ELSE 0 END)
-        OVER (PARTITION BY event_type ORDER BY t) AS run FROM q),
-runs AS (SELECT event_type, run, f, count(*) AS n FROM r GROUP BY event_type, run, f),
-ep AS (SELECT *, count(*) FILTER (WHERE NOT f AND n >= 3) OVER (PARTITION BY event_type ORDER BY run
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM runs),
-rec AS (SELECT event_type, min(run) FILTER (WHERE NOT f AND n >= 3) AS run FROM ep
-        GROUP BY event_type, e HAVING count(*) FILTER (WHERE f) > 0),
-num AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY t) AS nth FROM r)
-SELECT event_type, t AS ts_us, state FROM c WHERE state <> before
-UNION ALL SELECT event_type, t, 'recovered' FROM num JOIN rec USING (event_type, run) WHERE nth = 3""",
+    "stream_alerts": f"WITH {_STATES},\n{_changes_sql('event_type')}",
     "stream_sessions": _episodes_sql(None, 1800, 5, None),
+    "stream_scores": f"""WITH texts AS ({EVENT_SQL["semantic_text"]}),
+{encode_sql("event_id", "texts", "semantic_text")},
+every AS (SELECT event_id, dim, coalesce(x, 0.0) AS x
+          FROM texts CROSS JOIN (SELECT unnest(range({schemas.EMBEDDING_DIM})) AS dim) LEFT JOIN vec USING (event_id, dim)),
+{network_sql("event_id", "every")}
+SELECT event_id, source_type, semantic_text, {tier_sql(_THRESHOLD)} AS prediction, round(mse, 6) AS mse,
+       {_THRESHOLD}::DOUBLE AS threshold
+FROM e JOIN texts USING (event_id) WHERE mse / {_THRESHOLD} > 1""",
+    "stream_counters": TIMING_SQL["counter_on_grid"],
+    "stream_counter_alerts": f"""WITH {SQL_EVENTS},
+{_grid_sql("1", "true")},
+cond AS (SELECT event_type || '/' || instance AS series, t, increase > 0 AS holds FROM g1),
+o AS (SELECT *, lag(holds) OVER w AS pc, lag(t) OVER w AS pt FROM cond WINDOW w AS (PARTITION BY series ORDER BY t)),
+i AS (SELECT *, max(CASE WHEN pc IS NULL OR pc <> holds OR t - pt > 3600000000 THEN t END)
+        OVER (PARTITION BY series ORDER BY t) AS since FROM o),
+st AS (SELECT series, t, CASE WHEN NOT holds THEN 'inactive' WHEN t - since >= 3600000000 THEN 'firing' ELSE 'pending' END AS state FROM i),
+{_changes_sql("series")}""",
 }

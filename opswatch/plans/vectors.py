@@ -101,22 +101,22 @@ def prototype_cosines(spark, sf_dir):
 _UNITS = 4
 
 
-def _written_network() -> Autoencoder:
-    i, j = np.meshgrid(np.arange(DIM), np.arange(_UNITS), indexing="ij")
+def written_network(dim: int = DIM, threshold: float = 0.06) -> Autoencoder:
+    i, j = np.meshgrid(np.arange(dim), np.arange(_UNITS), indexing="ij")
     return Autoencoder(
         w1=((i * 7 + j * 3) % 11 - 5) / 50,
         b1=np.arange(_UNITS) / 100,
         w2=(((i * 5 + j * 2) % 13 - 6) / 40).T,
-        b2=np.arange(DIM) / 1000,
-        mean=np.full(DIM, 0.01),
-        scale=np.full(DIM, 0.5),
-        threshold=0.06,
+        b2=np.arange(dim) / 1000,
+        mean=np.full(dim, 0.01),
+        scale=np.full(dim, 0.5),
+        threshold=threshold,
     )
 
 
 def network_scores(spark, sf_dir):
     """Reconstruction error and tier of every vector through a network written as a formula."""
-    scored = score_vectors(_vectors(spark, sf_dir), _written_network())
+    scored = score_vectors(_vectors(spark, sf_dir), written_network())
     return scored.select("vec_id", "mse", "prediction", "threshold")
 
 
@@ -252,6 +252,45 @@ SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY confidence DESC,
        entity, round(confidence, 6) AS confidence
 FROM r QUALIFY rank <= 3"""
 
+
+
+def encode_sql(key: str, rows: str, text: str) -> str:
+    """``vec(key, dim, x)``: the numbers of the default encoder's vectors that are not zero."""
+    return f"""b AS (
+  SELECT {key}, regexp_extract_all(hex(encode('<' || lower({text}) || '>')), '..') AS bytes
+  FROM {rows}),
+u AS (SELECT {key}, generate_subscripts(bytes, 1) AS i,
+             ('0x' || unnest(bytes))::UBIGINT AS b0 FROM b),
+w AS (SELECT {key}, b0, lead(b0, 1) OVER w AS b1, lead(b0, 2) OVER w AS b2, lead(b0, 3) OVER w AS b3
+      FROM u WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+g AS (SELECT {key}, (b0 * 256 + b1) * 256 + b2 AS v FROM w WHERE b2 IS NOT NULL
+      UNION ALL
+      SELECT {key}, ((b0 * 256 + b1) * 256 + b2) * 256 + b3 FROM w WHERE b3 IS NOT NULL),
+h AS (SELECT {key}, (v::UBIGINT * {FACTOR}::UBIGINT) // 128 AS h FROM g),
+s AS (SELECT {key}, CAST((h // 2) % {schemas.EMBEDDING_DIM} AS INT) AS dim,
+        sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2),
+l AS (SELECT {key}, sqrt(sum(c * c)) AS len FROM s GROUP BY 1),
+vec AS (SELECT {key}, dim, CAST(c / len AS FLOAT)::DOUBLE AS x FROM s JOIN l USING ({key}) WHERE c <> 0)"""
+
+
+def network_sql(key: str, vectors: str) -> str:
+    """``e(key, mse)`` of the written network over ``vectors(key, dim, x)``, every number of each."""
+    return f"""z AS (SELECT {key}, dim, (x - 0.01) / 0.5 AS x FROM {vectors}),
+units AS (SELECT unnest(range({_UNITS})) AS j),
+hid AS (SELECT {key}, j,
+        greatest(0.0, sum(x * ((dim * 7 + j * 3) % 11 - 5) / 50.0) + j / 100.0) AS h
+      FROM z CROSS JOIN units GROUP BY {key}, j),
+o AS (SELECT z.{key}, z.dim, z.x,
+        sum(hid.h * ((z.dim * 5 + hid.j * 2) % 13 - 6) / 40.0) + z.dim / 1000.0 AS y
+      FROM z JOIN hid USING ({key}) GROUP BY z.{key}, z.dim, z.x),
+e AS (SELECT {key}, avg((x - y) * (x - y)) AS mse FROM o GROUP BY {key})"""
+
+
+def tier_sql(threshold: float) -> str:
+    return f"""CASE WHEN mse / {threshold} > 2 THEN 'high_anomaly' WHEN mse / {threshold} > 1 THEN 'low_anomaly'
+            ELSE 'normal' END"""
+
+
 ORACLES = {
     "scaler_stats": f"""WITH {_STATS}
 SELECT dim, round(mean, 8) AS mean, round(scale, 8) AS scale FROM f""",
@@ -259,36 +298,12 @@ SELECT dim, round(mean, 8) AS mean, round(scale, 8) AS scale FROM f""",
 SELECT vec_id, dim, round((x - mean) / scale, 6) AS z FROM v JOIN f USING (dim)""",
     "cosine_topk": _TOPK,
     "cosine_topk_blocked": _TOPK,
-    "encode": f"""WITH b AS (
-  SELECT doc_id, regexp_extract_all(hex(encode('<' || lower(text) || '>')), '..') AS bytes
-  FROM documents),
-u AS (SELECT doc_id, generate_subscripts(bytes, 1) AS i,
-             ('0x' || unnest(bytes))::UBIGINT AS b0 FROM b),
-w AS (SELECT doc_id, b0, lead(b0, 1) OVER w AS b1, lead(b0, 2) OVER w AS b2, lead(b0, 3) OVER w AS b3
-      FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT doc_id, (b0 * 256 + b1) * 256 + b2 AS v FROM w WHERE b2 IS NOT NULL
-      UNION ALL
-      SELECT doc_id, ((b0 * 256 + b1) * 256 + b2) * 256 + b3 FROM w WHERE b3 IS NOT NULL),
-h AS (SELECT doc_id, (v::UBIGINT * {FACTOR}::UBIGINT) // 128 AS h FROM g),
-s AS (SELECT doc_id, CAST((h // 2) % {schemas.EMBEDDING_DIM} AS INT) AS dim,
-        sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2),
-l AS (SELECT doc_id, sqrt(sum(c * c)) AS len FROM s GROUP BY 1)
-SELECT doc_id, dim, CAST(floor(CAST(c / len AS FLOAT)::DOUBLE * 10000) AS BIGINT) AS x FROM s JOIN l USING (doc_id) WHERE c <> 0""",
+    "encode": f"""WITH {encode_sql("doc_id", "documents", "text")}
+SELECT doc_id, dim, CAST(floor(x * 10000) AS BIGINT) AS x FROM vec""",
     "rca_scores": f"""WITH {_MEANS}
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS score
 FROM embeddings JOIN c USING (label)""",
     "network_scores": f"""WITH {_UNNESTED},
-z AS (SELECT vec_id, dim, (x - 0.01) / 0.5 AS x FROM v),
-units AS (SELECT unnest(range({_UNITS})) AS j),
-h AS (SELECT vec_id, j,
-        greatest(0.0, sum(x * ((dim * 7 + j * 3) % 11 - 5) / 50.0) + j / 100.0) AS h
-      FROM z CROSS JOIN units GROUP BY vec_id, j),
-o AS (SELECT z.vec_id, z.dim, z.x,
-        sum(h.h * ((z.dim * 5 + h.j * 2) % 13 - 6) / 40.0) + z.dim / 1000.0 AS y
-      FROM z JOIN h USING (vec_id) GROUP BY z.vec_id, z.dim, z.x),
-e AS (SELECT vec_id, avg((x - y) * (x - y)) AS mse FROM o GROUP BY vec_id)
-SELECT vec_id, round(mse, 6) AS mse, 0.06::DOUBLE AS threshold,
-       CASE WHEN mse / 0.06 > 2 THEN 'high_anomaly' WHEN mse / 0.06 > 1 THEN 'low_anomaly'
-            ELSE 'normal' END AS prediction
-FROM e""",
+{network_sql("vec_id", "v")}
+SELECT vec_id, round(mse, 6) AS mse, 0.06::DOUBLE AS threshold, {tier_sql(0.06)} AS prediction FROM e""",
 }

@@ -6,11 +6,14 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
+from opswatch.operators.catalogue import indexed_candidates, load_index
 from opswatch.operators.encode import encode
 from opswatch.operators.labels import confirmed
 from opswatch.operators.rootcause import with_candidates
 from opswatch.schemas import EMBEDDING_DIM
+from opswatch.streaming.batches import start_batches
 
 
 def encode_services(
@@ -35,3 +38,26 @@ def root_cause(
     """
     rows = encode(confirmed(feedback, strict=False), encoder=encoder, dim=dim)
     return with_candidates(rows, services, k).drop("embedding")
+
+
+def root_cause_stream(
+    feedback: DataFrame,
+    index: str,
+    path: str,
+    checkpoint: str,
+    k: int = 3,
+    encoder: Callable[[], Any] | None = None,
+    dim: int = EMBEDDING_DIM,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write the confirmed rows of a feedback stream with ``candidates`` from a catalogue of any size.
+
+    ``index`` is where ``publish_index`` wrote the services of ``encode_services``; each micro-batch meets its blocks, under the newest
+    version when the batch was first begun. Each batch is written once; ``read_batches`` reads ``path``.
+    """
+
+    def work(rows: DataFrame, version: int) -> DataFrame:
+        asked = encode(confirmed(rows, strict=False), encoder=encoder, dim=dim)
+        return indexed_candidates(asked, load_index(rows.sparkSession, index, version), k).drop("embedding")
+
+    return start_batches(feedback, path, checkpoint, index, work, trigger=trigger)

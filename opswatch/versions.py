@@ -13,7 +13,7 @@ _MARK = "complete"
 _TRIES = 100
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
+def listed(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder of any store that Spark reads; none where it is missing."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -26,11 +26,11 @@ def _folder(path: str, version: int) -> str:
 
 def versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
     """The numbers of the versions beneath ``path``, in order; with ``complete`` only of whole ones."""
-    names = [n for n in _listed(spark, path) if n.startswith("v") and n[1:].isdigit()]
+    names = [n for n in listed(spark, path) if n.startswith("v") and n[1:].isdigit()]
     found = sorted(int(n[1:]) for n in names)
     if not complete:
         return found
-    return [v for v in found if "_SUCCESS" in _listed(spark, f"{_folder(path, v)}/{_MARK}")]
+    return [v for v in found if "_SUCCESS" in listed(spark, f"{_folder(path, v)}/{_MARK}")]
 
 
 def publish(spark: SparkSession, path: str, parts: dict[str, DataFrame]) -> int:
