@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opswatch import schemas
-from opswatch.functions import first_value_of, json_path, rx, to_number, with_semantic_text
+from opswatch.functions import first_value_of, rx, to_number, with_semantic_text
 
 
-def _first_values(text: Column, names: tuple[str, ...]) -> list[Column]:
-    """The first value of each key, as text."""
-    return [json_path(text, f"$['{name}']").alias(name) for name in names]
+def _may_repeat(text: str, names: Sequence[str]) -> str:
+    """Whether one of the keys may occur twice: it is there twice between quotes, or keys may be spelt with escapes.
+
+    SQL text, as are the other expressions here that are made per field: one call builds what would take hundreds.
+    """
+    twice = [f"locate('\"{n}\"', {text}, locate('\"{n}\"', {text}) + 1) > 0" for n in names]
+    return " OR ".join([rf"contains({text}, r'\u')", *twice])
 
 
 def parse_envelope(df: DataFrame, col: str = "json_str", keep: tuple[str, ...] = ()) -> DataFrame:
     """``source_type, timestamp, message`` of each event, with the event text kept beside them.
 
-    Of a key that occurs twice the first value counts.
+    Of a key that occurs twice the first value counts. The text is parsed once; only where a key may
+    occur twice each field is looked up by its path.
     """
     fields = ("source_type", "timestamp", "message")
     texts = df.select(*keep, F.col(col).cast("string").alias("json_str"))
-    return texts.select(*keep, "json_str", *_first_values(F.col("json_str"), fields))
+    parsed = texts.select("*", F.json_tuple("json_str", *fields).alias(*[f"__{n}" for n in fields]))
+    parsed = parsed.withColumn("__repeated", F.expr(_may_repeat("json_str", fields)))
+    first = [f"CASE WHEN __repeated THEN get_json_object(json_str, '$.{n}') ELSE __{n} END AS {n}" for n in fields]
+    return parsed.select(*keep, "json_str", *map(F.expr, first))
 
 
 _INNER = {source: [name for _, name in fields] for source, fields in schemas.SOURCE_FIELDS.items()}
@@ -37,9 +46,8 @@ _OWNERS = {n: [source for source, names in _INNER.items() if n in names] for n i
 def _with_fields(envelope: DataFrame, last: bool = False) -> DataFrame:
     """The fields of the message as ``m_…`` and those beside the envelope as ``f_…``.
 
-    Of a repeated key the first value counts, or the ``last`` one. A text is parsed only for the fields of
-    the row's source: raw-text messages and the events of other sources are not parsed. The last
-    values come from one parse for all fields.
+    Of a repeated key the first value counts, or the ``last`` one. A text is parsed once for all fields, and only where
+    its source has fields; where a key may be there twice, its first value is looked up by path.
     """
     source = F.col("source_type")
     if last:
@@ -52,12 +60,24 @@ def _with_fields(envelope: DataFrame, last: bool = False) -> DataFrame:
             "*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"f_{n}" for n in _FLAT_NAMES])
         )
 
-    def field(text: str, name: str, owners: list[str]) -> Column:
-        return F.when(source.isin(owners), json_path(F.col(text), f"$['{name}']"))
+    own = F.when(source.isin([s for s, names in _INNER.items() if names]), F.col("message"))
+    flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
+    inside = [f"__m_{n}" for n in _INNER_NAMES]
+    parsed = envelope.select("*", F.json_tuple(own, *_INNER_NAMES).alias(*inside))
+    parsed = parsed.select("*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"__f_{n}" for n in _FLAT_NAMES]))
+    owners = [f"WHEN source_type = '{o}' THEN {_may_repeat('message', names)}" for o, names in _INNER.items() if names]
+    repeated = f"CASE {' '.join(owners)} ELSE false END AS __repeated"
+    beside = f"(source_type = '{schemas.FLAT_SOURCE}' AND ({_may_repeat('json_str', _FLAT_NAMES)})) AS __beside"
+    parsed = parsed.select("*", F.expr(repeated), F.expr(beside))
+
+    def field(text: str, kind: str, name: str, owners: list[str], repeated: str) -> Column:
+        path = f"CASE WHEN {repeated} THEN get_json_object({text}, '$.{name}') ELSE __{kind}_{name} END"
+        names = ", ".join(f"'{o}'" for o in owners)
+        return F.expr(f"CASE WHEN source_type IN ({names}) THEN {path} END AS {kind}_{name}")
 
-    message = [field("message", n, _OWNERS[n]).alias(f"m_{n}") for n in _INNER_NAMES]
-    beside = [field("json_str", n, [schemas.FLAT_SOURCE]).alias(f"f_{n}") for n in _FLAT_NAMES]
-    return envelope.select("*", *message, *beside)
+    message = [field("message", "m", n, _OWNERS[n], "__repeated") for n in _INNER_NAMES]
+    flats = [field("json_str", "f", n, [schemas.FLAT_SOURCE], "__beside") for n in _FLAT_NAMES]
+    return parsed.select(*envelope.columns, *message, *flats)
 
 
 def _columns() -> dict[str, tuple[str, Column]]:
@@ -139,7 +159,10 @@ def route_for_scoring(
             value = F.when(source == filled[name], expressions[name][1])
         elif name in _COMPAT_NUMBER:
             owner, path = _COMPAT_NUMBER[name]
-            value = F.when(source == owner, F.col(f"m_{path}"))
+            number = F.col(f"m_{path}")
+            # a JSON true is the number 1, the text "true" is none
+            true = (number == "true") & F.col("message").rlike(rf'"{path}"\s*:\s*true')
+            value = F.when(source == owner, F.when(true, "1").otherwise(number))
         else:
             value = F.lit(None).cast("string")
         features.append(_defaulted(name, value))

@@ -79,6 +79,20 @@ def test_the_first_of_repeated_keys_counts(spark):
     assert route_for_scoring(envelope).first().log_level == "ERROR"  # the evaluation takes the last
 
 
+@pytest.mark.parametrize("key", ["level", "le\\u0076el"])
+def test_a_key_spelt_with_escapes_is_the_same_key(spark, key):
+    inner = f'{{"{key}":"FIRST","level":"SECOND","message":"has \\"level\\" inside"}}'
+    df = spark.createDataFrame([(event("app_container_log", inner),)], "json_str string")
+    found = route_structured(parse_envelope(df)).first()
+    assert (found.log_level, found.log_message) == ("FIRST", 'has "level" inside')
+
+
+def test_a_true_is_one_and_its_name_is_none(spark):
+    data = [event("nginx_access", inner) for inner in ('{"status": true}', '{"status": "true"}', '{"status": false}', '{"status":"7"}')]
+    found = route_for_scoring(parse_envelope(spark.createDataFrame([(d,) for d in data], "json_str string")))
+    assert [r.response_status for r in found.collect()] == [1.0, 0.0, 0.0, 7.0]
+
+
 def test_routing_reads_once(spark, tmp_path):
     source(spark).write.parquet(str(tmp_path / "e"))
     routed = route_structured(parse_envelope(spark.read.parquet(str(tmp_path / "e"))))
