@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,29 +237,75 @@ def anomaly_sessions(
     grace: float = 5.0,
     late: str = "30 seconds",
 ) -> DataFrame:
-    """Anomaly episodes as event-time sessions, emitted once the watermark passes them.
+    """A stream's anomaly episodes, by the rules of ``anomaly_episodes``, each once the watermark is more than ``gap`` past it.
 
-    A session window closes at exactly ``gap`` after its last anomaly and treats the next anomaly
-    at that very instant as a new session; the batch operator still counts it to the old one.
+    Each task first reduces its anomalies to cells of length ``gap`` (members of a cell are always in one run). Only cells are shuffled
+    and merged with their neighbours in state: without ``keys`` these meet in one place, at most one per task and
+    ``gap`` of time, however many anomalies there are. State is the sessions that are still open.
     """
-    anomalies = anomalies.withColumn(ts, F.col(ts).cast("timestamp"))
-    session = F.session_window(F.col(ts), f"{round(gap * 1000)} milliseconds").alias("w")
-    # Streams have no sessions without a key; a computed constant stands in for one.
-    everything = F.when(F.col(ts).isNotNull(), 0).alias("everything")
-    grouped = anomalies.withWatermark(ts, late).groupBy(*(keys or [everything]), session)
-    counted = grouped.agg(
-        F.min(ts).alias("first_anomaly"),
-        F.max(ts).alias("last_anomaly"),
-        F.count(F.lit(1)).alias("anomalies"),
-    )
-    recovered = F.greatest(
-        micros(F.col("w.end")), micros(F.col("first_anomaly")) + round(grace * SECOND)
+    width, names = round(gap * SECOND), list(keys)
+    timed = anomalies.select(*names, micros(F.col(ts)).alias("__at")).where(F.col("__at").isNotNull())
+    fields = [timed.schema[n] for n in names]
+    longs = [T.StructField(n, T.LongType()) for n in ("__first", "__last", "__n")]
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            at = batch.column(len(names))
+            cell = pa.array(np.asarray(at) // width)
+            columns = [*(batch.column(i) for i in range(len(names))), cell, at, at, pa.array(np.ones(len(at), np.int64))]
+            total = _summed(total, pa.table(columns, [*names, "__cell", "__first", "__last", "__n"]), [*names, "__cell"])
+        if total is not None and total.num_rows:
+            yield from total.select([*names, "__first", "__last", "__n"]).to_batches()
+
+    cells = timed.mapInArrow(reduced, T.StructType([*fields, *longs]))
+    cells = cells.withColumn("instant", F.timestamp_micros("__last")).withWatermark("instant", late)
+    kept = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("__first", "__last", "__n")])
+
+    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [np.array(state.get, np.int64)] if state.exists else []
+        if not state.hasTimedOut:
+            parts += [rows[["__first", "__last", "__n"]].to_numpy(np.int64).T for rows in batches]
+        sessions = _merged(np.concatenate(parts, axis=1), width)
+        passed = state.getCurrentWatermarkMs() * 1000
+        over = sessions[1] + width < passed
+        still = sessions[:, ~over]
+        if still.shape[1]:
+            state.update(tuple(still.tolist()))
+            state.setTimeoutTimestamp(max((int(still[1].min()) + width) // 1000, passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if over.any():
+            found = pd.DataFrame(sessions[:, over].T, columns=["__first", "__last", "__n"])
+            for i, n in enumerate(names):
+                found.insert(i, n, key[i])
+            yield found
+
+    # a stream's groups need a key
+    grouped = cells.groupBy(*names) if names else cells.withColumn("all", F.lit(0)).groupBy("all")
+    merged = grouped.applyInPandasWithState(
+        merge, T.StructType([*fields, *longs]), kept, "append", GroupStateTimeout.EventTimeTimeout
     )
-    return counted.select(
-        *keys,
-        "first_anomaly",
-        "last_anomaly",
-        "anomalies",
+    recovered = F.greatest(F.col("__last") + width, F.col("__first") + round(grace * SECOND))
+    return merged.select(
+        *names,
+        from_micros(F.col("__first")).alias("first_anomaly"),
+        from_micros(F.col("__last")).alias("last_anomaly"),
+        F.col("__n").alias("anomalies"),
         from_micros(recovered).alias("recovered_at"),
     )
 
+
+def _summed(total: pa.Table | None, more: pa.Table, by: list[str]) -> pa.Table:
+    """Cells of both tables, each once."""
+    both = more if total is None else pa.concat_tables([total, more])
+    found = both.group_by(by).aggregate([("__first", "min"), ("__last", "max"), ("__n", "sum")])
+    return found.select([*by, "__first_min", "__last_max", "__n_sum"]).rename_columns([*by, "__first", "__last", "__n"])
+
+
+def _merged(cells: np.ndarray, width: int) -> np.ndarray:
+    """Rows first, last, n of cells or sessions, those no more than ``width`` apart as one."""
+    first, last, n = cells[:, np.argsort(cells[0], kind="stable")]
+    reach = np.maximum.accumulate(last)
+    starts = np.flatnonzero(np.append(True, first[1:] - reach[:-1] > width))
+    return np.array([first[starts], np.maximum.reduceat(last, starts), np.add.reduceat(n, starts)])

@@ -172,6 +172,31 @@ def test_one_shard_is_plain_minibatch_training(spark):
     assert history[0]["loss"] > history[-1]["loss"]
 
 
+def test_synchronous_steps_do_not_depend_on_the_tasks(spark):
+    df, x = vectors(spark, n=240, dim=4)
+    settings = {"mode": "synchronous", "id_col": "id", "hidden": 3, "epochs": 2, "batch_size": 60, "lr": 0.05, "dropout": 0.2}
+    found = [ae.fit_autoencoder(df.repartition(tasks), **settings) for tasks in (1, 8, 64)]
+    model, history = found[0]
+    for other, losses in found[1:]:
+        assert other.flat() == pytest.approx(model.flat(), rel=1e-9, abs=1e-12)
+        assert [h["loss"] for h in losses] == pytest.approx([h["loss"] for h in history])
+    # the same steps in a plain loop
+    keyed = ae.training_rows(df, [F.col("embedding").alias("x")], "id")
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(16))
+    dealt = {r["id"]: (r["p"], r["x"]) for r in keyed.select("id", "x", part.alias("p")).collect()}
+    net = replace(ae.initial(4, 3), mean=x.mean(0), scale=x.std(0))
+    adam = ae.Adam(len(net.flat()), 0.05)
+    for epoch in range(2):
+        order = np.argsort(ae.start_numbers(np.arange(16), 1, 4, epoch)[:, 0], kind="stable")
+        for batch in order.reshape(4, 4).tolist():
+            ids = [i for i, (p, _) in dealt.items() if p in batch]
+            rows_of = net.scaled(np.array([dealt[i][1] for i in ids]))
+            mask = ae.dropout_mask(np.array(ids), epoch, 3, 0.2)
+            gradient = net.gradient_sums(rows_of, mask)[1]
+            net = net.with_flat(adam.step(net.flat(), gradient / len(ids)))
+    assert model.flat() == pytest.approx(net.flat(), rel=1e-6, abs=1e-9)
+
+
 def test_shards_follow_the_rows(spark):
     df, _ = vectors(spark)
     fitted, _ = ae.fit_autoencoder(df, id_col="id", hidden=3, epochs=2, shards=5)

@@ -1,6 +1,7 @@
 """Envelopes, collector records, files and streams."""
 
 import json
+import random
 import time
 from datetime import datetime, timedelta, timezone
 
@@ -17,6 +18,7 @@ from opswatch.operators.envelope import (
     source_rows,
     union_sources,
 )
+from opswatch.operators.episodes import anomaly_episodes
 from opswatch.operators.labels import FULL_RULES, rule_labels
 from opswatch.operators.normalize import classify_health, flatten_commits, flatten_metrics, flatten_runs, keep_metrics
 from opswatch.streaming.alerts import alert_transitions, anomaly_sessions
@@ -277,17 +279,28 @@ def test_streams_read_a_folder_of_parts(spark, tmp_path):
         assert rows(streams.QUERIES[name](spark, str(tmp_path))) == rows(streams.QUERIES[name](spark, one))
 
 
-def test_anomaly_sessions(spark, tmp_path):
+@pytest.mark.parametrize("keys", [[], ["host", "n"]])
+@pytest.mark.parametrize("batches", [1, 4])
+def test_anomaly_sessions(spark, tmp_path, keys, batches):
+    """Sessions of a stream are the episodes of the table, in however many batches it comes."""
     t0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
-    folder = str(tmp_path / "in")
-    times = [0, 4, 9, 40, 41, 500]
-    df = spark.createDataFrame([(t0 + timedelta(seconds=s),) for s in times], "ts timestamp")
-    df.coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema("ts timestamp").parquet(folder)
+    rng = random.Random(8)
+    at, data = 0.0, []
+    for _ in range(120):
+        at += rng.choice([0.0, 2.5, 4.0, 9.0, 10.0, 10.5, 25.0])
+        data.append((rng.choice("ab"), rng.choice([1, None]), t0 + timedelta(seconds=at)))
+    schema, folder = "host string, n int, ts timestamp", str(tmp_path / "in")
+    size = -(-len(data) // batches)
+    end = [[("end", 0, t0 + timedelta(days=d))] for d in (1, 2)]
+    for part in [*(data[i : i + size] for i in range(0, len(data), size)), *end]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = str(tmp_path / "out")
-    sources.start_sink(anomaly_sessions(stream), out, str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
-    found = spark.read.parquet(out).select(F.unix_timestamp("recovered_at") - int(t0.timestamp()), "anomalies")
-    assert rows(found) == [(19, 3), (51, 2)]
+    query = sources.start_sink(anomaly_sessions(stream, keys, late="1 second"), out, str(tmp_path / "cp"), trigger=ONCE)
+    query.awaitTermination()
+    found = spark.read.parquet(out).where(F.col("first_anomaly") < F.lit("2025-01-01 12:00:00"))
+    assert rows(found) == rows(anomaly_episodes(spark.createDataFrame(data, schema), keys))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # the open session of the end
 
 
 def test_root_cause_stream(spark, tmp_path):
