@@ -148,6 +148,20 @@ def semantic_texts(spark, sf_dir):
     return _semantic(spark, sf_dir, "native")
 
 
+def semantic_texts_nested(spark, sf_dir):
+    """Messages that hold nested values, booleans, fractions and repeated keys, as Python prints them."""
+    k = F.col("k").cast("string")
+    kinds = [
+        F.concat(F.lit('{"ok": true, "n": {"k": '), k, F.lit(', "l": [1, "x"]}, "f": 1.50}')),
+        F.concat(F.lit('{"id": '), k, F.lit(', "id": 1'), k, F.lit("}")),
+        F.concat(F.lit('{"at_time": 1, "name": "plain", "n": '), k, F.lit("}")),
+    ]
+    inner = F.when(F.col("event_id") % 3 == 0, kinds[0]).when(F.col("event_id") % 3 == 1, kinds[1]).otherwise(kinds[2])
+    record = F.to_json(F.struct(F.lit("s").alias("source_type"), inner.alias("message")))
+    rows = events(spark, sf_dir).select("event_id", record.alias("json_str"))
+    return semantic_rows(rows, mode="exact", keep=("event_id",)).select("event_id", "semantic_text")
+
+
 def semantic_texts_exact(spark, sf_dir):
     return _semantic(spark, sf_dir, "exact")
 
@@ -265,6 +279,7 @@ QUERIES = {
     "health_classes": health_classes,
     "semantic_text": semantic_texts,
     "semantic_text_exact": semantic_texts_exact,
+    "semantic_text_nested": semantic_texts_nested,
     "numeric_coerce": numeric_coerce,
     "route_for_scoring": scoring_features,
     "select_features": feature_table,
@@ -396,6 +411,11 @@ SELECT event_id,
 FROM h""",
     "semantic_text": _SEMANTIC_SQL,
     "semantic_text_exact": _SEMANTIC_SQL,
+    "semantic_text_nested": f"""WITH {SQL_EVENTS}
+SELECT event_id, CASE event_id % 3
+         WHEN 0 THEN 'ok=True n={{''k'': ' || k || ', ''l'': [1, ''x'']}} f=1.5'
+         WHEN 1 THEN 'id=1' || k ELSE 'name=plain n=' || k END AS semantic_text
+FROM e""",
     "numeric_coerce": f"""WITH {SQL_EVENTS}
 SELECT event_id, CASE WHEN k % 8 <= 1 THEN value WHEN k % 8 = 6 THEN k * 100.0 ELSE 0.0 END
   ::DOUBLE AS number FROM e""",

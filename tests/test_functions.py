@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from opswatch import functions as fn
-from opswatch.functions.semantic import render
+from opswatch.functions import semantic
 
 
 def column(spark, values, kind="string"):
@@ -56,6 +56,48 @@ def test_semantic_text_exact(spark):
     assert got == [t for _, t in cases]
 
 
+UNLIKE = [
+    "{'a': 1}", '{"a": 1} x', '{"a": 1}}', '{"a": 1},{"b": 2}', '{"a": 1.50}', '{"a": 1e3}', '{"a": -0}', '{"a": NaN}', '{"a": 01}',
+    event("1.50"), event("true"), event("null"), event('"quoted"'), event("[1]"), event(" 7 "), event("-"), event("text: true"),
+    event("{'a': 1}"), event('{"a": 1} more'), event('{"a": {"b": [true]}}'), event('{"a": "x}y"}'), event('{"a": 1, "a": 2}'), event(""),
+    event('{"a": "\\u0041"}'), event("plain text"), event('{"time": 1, "k": "v", "n": 3, "z": null}'), '{"a": "b", "n": 12}', "", None, "{}",
+]
+
+
+def test_exact_text_of_rows_that_stay_in_the_jvm_and_of_others(spark):
+    cases = [p for p, _ in AGREED + EXACT_ONLY] + UNLIKE
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(cases)], "i int, v string")
+    got = {r.i: r.semantic_text for r in fn.with_semantic_text(df, "v", mode="exact").collect()}
+    assert [got[i] for i in range(len(cases))] == [semantic.render(p) for p in cases]
+    obj = df.withColumn("o", semantic.json_object(F.col("v"))).withColumn("m", semantic.message_of(F.col("o")))
+    obj = obj.withColumn("n", semantic.json_object(F.col("m")))
+    alike = obj.select("v", semantic.prints_alike(*map(F.col, "vomn")).alias("a")).where("a").select("v")
+    stay = {r.v for r in alike.collect()}
+    assert {UNLIKE[-6], UNLIKE[-5], UNLIKE[-4]} <= stay
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.dictionaries(
+            st.text(alphabet="abt'{}: " + '"', max_size=4),
+            st.recursive(
+                st.one_of(st.none(), st.booleans(), st.integers(), st.floats(), st.text(alphabet="ab'{}[]:,-0 é" + '"', max_size=6)),
+                lambda inner: st.one_of(st.lists(inner, max_size=2), st.dictionaries(st.text(max_size=2), inner, max_size=2)),
+                max_leaves=3,
+            ),
+            max_size=3,
+        ),
+        min_size=1, max_size=30,
+    )
+)
+def test_exact_text_of_any_object(spark, objects):
+    cases = [json.dumps(o) for o in objects] + [event(json.dumps(o)) for o in objects]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(cases)], "i int, v string")
+    got = {r.i: r.semantic_text for r in fn.with_semantic_text(df, "v", mode="exact").collect()}
+    assert [got[i] for i in range(len(cases))] == [semantic.render(p) for p in cases]
+
+
 def test_semantic_text_mode(spark):
     with pytest.raises(ValueError):
         fn.semantic_text(F.col("v"), "other")
@@ -69,7 +111,7 @@ flat = st.dictionaries(plain, st.one_of(plain, st.integers(-(2**40), 2**40), st.
 @given(st.lists(flat, min_size=1, max_size=20))
 def test_modes_agree_on_flat_objects(spark, objects):
     payloads = [event(json.dumps(o)) for o in objects]
-    assert apply(spark, payloads, fn.semantic_text) == [render(p) for p in payloads]
+    assert apply(spark, payloads, fn.semantic_text) == [semantic.render(p) for p in payloads]
 
 
 def test_to_number(spark):

@@ -170,7 +170,22 @@ def test_files(spark, tmp_path):
     (logs / "cpu.log").write_text("one\ntwo\n")
     (logs / "http.log").write_text("three")
     found = rows(sources.read_experiment_logs(spark, str(logs)))
-    assert found == [("cpu", 0, "one"), ("cpu", 1, "two"), ("cpu", 2, ""), ("http", 0, "three")]
+    assert found == [("cpu", 0, "one"), ("cpu", 1, "two"), ("http", 0, "three")]
+
+
+def test_a_long_log_is_split_and_keeps_its_order(spark, tmp_path):
+    lines = {n: [f"{n} line {i} {'x' * (i % 50)}" for i in range(3000)] for n in ("one", "two")}
+    for name, content in lines.items():
+        (tmp_path / f"{name}.log").write_text("\n".join(content) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = sources.read_experiment_logs(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        found = {n: [r.value for r in read.where(F.col("experiment") == n).orderBy("ord").collect()] for n in lines}
+        ords = sorted(r.ord for r in read.where("experiment = 'two'").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == lines and ords == list(range(3000))
 
 
 def test_partitioned_table_prunes(spark, tmp_path):
