@@ -49,6 +49,15 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str] | Column, how:
     return left.join(F.broadcast(right) if small(right, row_bytes) else right, on, how)
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``key`` (a number of its own for each row) and ``row`` (all its columns): written once, so that keys stay.
+
+    Whatever the columns are called, nothing that is joined to the key can clash with them.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("key"), whole.alias("row")))
+
+
 def one_text_per_id(docs: DataFrame) -> DataFrame:
     """``doc_id`` (long) and ``text``; of rows that repeat an id, one with the least text that is not null.
 

@@ -73,26 +73,24 @@ def exact_duplicates(docs: DataFrame, hash_of: Callable[[Column], Column] = cont
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents whose text is not an earlier one's, with all their columns.
+    """The documents whose text is not an earlier one's, with all their columns, whatever these are called.
 
-    Repeated rows with one id and text leave one of them.
+    Repeated rows with one id and text leave one of them. Rows are told apart by their id and 256 bits of their text, so that
+    texts whose 128 bits collide stay apart here as they do in ``exact_duplicates``.
     """
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "content_hash", same.alias("_repeat"))
+    gone = exact_duplicates(docs).where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("sha"), same.alias("repeat"))
     gone = cut_lineage(gone.distinct())
-    rows = docs.withColumn("_hash", content_hash(normalised("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("content_hash"))
-
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        # the hash comes first in the join, so that a null id never makes it a nested loop
-        return join_counted(left, right, on, how, _GROUP_BYTES)
-
-    repeats = gone.where("_repeat")
-    kept = joined(rows, gone, "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("id"), F.sha2(normalised("text"), 256).alias("digest"), whole.alias("row"))
+    # the digest comes first in the join, so that a null id never makes it a nested loop
+    on = (F.col("digest") == F.col("sha")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    repeats = gone.where("repeat")
+    kept = join_counted(rows, gone, on, "left_anti", _GROUP_BYTES)
     if not repeats.isEmpty():
-        copies = joined(rows, repeats, "left_semi")
-        kept = kept.unionByName(copies.dropDuplicates(["doc_id", "_hash"]))
-    return kept.drop("_hash")
+        copies = join_counted(rows, repeats, on, "left_semi", _GROUP_BYTES)
+        kept = kept.unionByName(copies.dropDuplicates(["id", "digest"]))
+    return kept.select("row.*")
 
 
 EXACT_DEDUP_SQL = r"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,49 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    (
+        "Artistic-1.0",
+        'The "Artistic License" Preamble The intent of this document is to state the conditions under which a Package may be copied',
+    ),
+    ("Artistic-2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation."),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("BSD-2-Clause", "Released under the 2-Clause BSD License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+)
+# What tells near licences apart, besides the numbers of their versions; and what denies a notice.
+KINDS = frozenset(
+    b"mit apache bsd gpl lgpl agpl lesser library affero documentation mozilla mpl artistic cc cc0 by-sa by-nc by-nd isc zlib eclipse boost".split()
 )
+DENIALS = frozenset(b"not never no without isn't aren't wasn't neither nor cannot".split())
+_VERSION = re.compile(rb"v?\d{1,2}(\.\d{1,2})*|\d-clause")
+#: Words before a notice, in its sentence, that may deny it.
+_BEFORE = 4
+#: A text of fewer words is no full licence text.
+_FULL_WORDS = 100
 #: Cosine from which a line or a window of words is a notice, and from which a whole file is a licence file.
 NOTICE_FROM = 0.8
 FILE_FROM = 0.5
+#: Cosine of a whole text to a full licence text, and its distance to the next licence, from which it is that licence.
+FULL_FROM, FULL_MARGIN = 0.9, 0.002
 #: Names that make a file with a notice a licence file.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 _EDGE = b".,;:!?|\"'()[]{}<>*#/-"
@@ -78,6 +119,11 @@ class _Terms(dict):
         return value
 
 
+def _telling(terms: Iterable[bytes]) -> frozenset[bytes]:
+    """The terms among them that tell licences apart: kinds and versions."""
+    return frozenset(t.removeprefix(b"v") if _VERSION.fullmatch(t) else t for t in terms if t in KINDS or _VERSION.fullmatch(t))
+
+
 @dataclass(frozen=True)
 class Templates:
     """Template vectors over their own vocabulary, and their terms' number; ``other_idf`` is for terms in no template."""
@@ -88,6 +134,29 @@ class Templates:
     other_idf: float
     vectors: np.ndarray
     sizes: tuple[int, ...]
+    telling: tuple[frozenset[bytes], ...]
+    denials: tuple[int, ...]
+    full: Templates | None = None
+
+    def speaks(self, words: list[bytes], at: int, n: int, k: int) -> bool:
+        """Whether the ``n`` words from ``at`` on, close to template ``k``, name its kind and version and no other, and do not deny it."""
+        terms = [_term(w) for w in words[at : at + n]]
+        if _telling(terms) != self.telling[k] or sum(t in DENIALS for t in terms) > self.denials[k]:
+            return False
+        for word in reversed(words[max(0, at - _BEFORE) : at]):
+            if word[-1:] in b".!?;:":
+                break
+            if _term(word) in DENIALS or _term(word).endswith(b"n't"):
+                return False
+        return True
+
+    def whole(self, words: list[bytes]) -> tuple[str | None, float]:
+        """The full licence text that the words are, if one is near and the next licence is farther."""
+        c = self.cosines(words)
+        k = int(c.argmax())
+        others = [x for x, name in zip(c, self.names, strict=True) if name != self.names[k]]
+        sure = c[k] >= FULL_FROM and c[k] - max(others, default=0.0) >= FULL_MARGIN
+        return (self.names[k], float(c[k])) if sure else (None, 0.0)
 
     def cosines(self, words: list[bytes]) -> np.ndarray:
         """Cosine of a bag of words to each template."""
@@ -126,11 +195,11 @@ class Templates:
         found = []
         for i in near:
             c = self.cosines(words[i])
-            found.append((float(c.max()), int(begin[i]), int(c.argmax())))
+            found += [(float(c[k]), int(begin[i]), int(k), len(words[i])) for k in np.flatnonzero(c >= NOTICE_FROM)]
         every = [w for ws in words for w in ws]
         found += self.windows(every, codes, weight)
         best, licence = 0.0, None
-        passed = [(-round(c, 12), at, k) for c, at, k in found if c >= NOTICE_FROM]
+        passed = [(-round(c, 12), at, k) for c, at, k, n in found if c >= NOTICE_FROM and self.speaks(every, at, n, k)]
         if passed:
             c, _, k = min(passed)
             best, licence = -c, self.names[k]
@@ -138,13 +207,18 @@ class Templates:
         known = np.bincount(codes[codes >= 0], minlength=len(self.idf)) * self.idf
         # repeats of other terms only lower the cosine
         if (self.vectors @ known).max() >= FILE_FROM * np.sqrt(known @ known + outside.sum()) - 1e-9 and known.any():
-            c = self.cosines(every)
+            c = np.where([t <= _telling(map(_term, every)) for t in self.telling], self.cosines(every), 0.0)
             k = int(c.argmax())
-            file_best, file_licence = float(c[k]), self.names[k]
+            if self.speaks(every, 0, len(every), k) or licence == self.names[k]:
+                file_best, file_licence = float(c[k]), self.names[k]
+        if self.full is not None and len(every) > _FULL_WORDS:
+            name, near = self.full.whole(every)
+            if name is not None:
+                return name, near, name, near
         return licence, best, file_licence, file_best
 
-    def windows(self, words: list[bytes], codes: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
-        """Cosine, first word and template of the windows of as many terms as a template, across lines, that may be its notice.
+    def windows(self, words: list[bytes], codes: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int, int]]:
+        """Cosine, first word, template and words of the windows of as many terms as a template, across lines, that may be its notice.
 
         Templates with too few of their terms in the text have none. In a window, a term's repeats only lower the cosine below
         what its running sums give; windows that this bound leaves are compared word by word.
@@ -161,17 +235,26 @@ class Templates:
             part = np.append(0, np.cumsum(np.where(inside, (self.vectors[k] * self.idf)[np.maximum(codes, 0)], 0)))
             bound = NOTICE_FROM * np.sqrt(norm[n:] - norm[:-n])
             for at in np.flatnonzero(part[n:] - part[:-n] >= bound - 1e-6):
-                c = self.cosines(words[place[at] : place[at + n - 1] + 1])[k]
-                found.append((float(c), int(place[at]), int(k)))
+                span = int(place[at + n - 1] + 1 - place[at])
+                c = self.cosines(words[place[at] : place[at] + span])[k]
+                found.append((float(c), int(place[at]), int(k), span))
         return found
 
 
-def fit_templates(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Templates:
-    """Weigh the templates' terms by their inverse document frequency over all documents.
+def licence_texts(folder: str) -> tuple[tuple[str, str], ...]:
+    """Full licence texts of a folder on the driver, each named by its file."""
+    return tuple((f.name, f.read_text("utf-8", "replace")) for f in sorted(Path(folder).iterdir()) if f.is_file() and not f.is_symlink())
+
+
+def fit_templates(
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, texts: tuple[tuple[str, str], ...] = ()
+) -> Templates:
+    """Weigh the templates' terms by their inverse document frequency over all documents; of full ``texts`` likewise.
 
     ``idf = ln((1 + documents) / (1 + documents with the term)) + 1``; terms outside the templates get the value of a term in
     no document, so their counts, which grow with the corpus, are not needed.
     """
+    full = fit_templates(docs, texts) if texts else None
     bags = [[t for w in text.encode().lower().split() if (t := _term(w))] for _, text in templates]
     vocabulary = {t: i for i, t in enumerate(sorted({t for bag in bags for t in bag}))}
 
@@ -192,16 +275,26 @@ def fit_templates(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         for term, n in Counter(bag).items():
             row[vocabulary[term]] = n * idf[vocabulary[term]]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Templates(tuple(n for n, _ in templates), vocabulary, idf, float(np.log(1 + total[-1]) + 1), vectors, tuple(len(b) for b in bags))
+    return Templates(
+        tuple(n for n, _ in templates), vocabulary, idf, float(np.log(1 + total[-1]) + 1), vectors, tuple(len(b) for b in bags),
+        tuple(_telling(b) for b in bags), tuple(sum(t in DENIALS for t in b) for b in bags), full,
+    )
 
 
-def scan_licences(files: DataFrame, path: str | Column = "path", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licences(
+    files: DataFrame,
+    path: str | Column = "path",
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    texts: tuple[tuple[str, str], ...] = (),
+) -> DataFrame:
     """Each file's licence, found in it or inherited from the nearest directory above it.
 
     ``files`` has ``doc_id``, ``text`` and a path with ``/`` (column or expression). Result: ``doc_id``, ``path``, ``licence``,
     ``score`` (cosine of the notice), ``origin`` (``notice``, ``inherited`` or null), ``source_path`` (the file that says so). A
     line, or a run of as many words as a template has, is a notice when its TF-IDF cosine to the template reaches ``NOTICE_FROM``; the
-    best one counts, ties go to the earlier one. A file whose whole text reaches ``FILE_FROM`` is a licence file, with or without such a
+    best one counts, ties go to the earlier one. It must name the template's kind and version and no other (near licences differ in
+    little else), and must not be denied ("not released under ..."). With ``texts`` (of ``licence_texts``) a file that is one of them,
+    clearly nearer than any other, has that licence. A file whose whole text reaches ``FILE_FROM`` is a licence file, with or without such a
     notice (the cosine is then the whole text's); one with a notice also is when its name says so. A licence file
     speaks for its directory: of several the one with the highest cosine, then the least path. A file without a notice
     takes the licence of the nearest directory, its own or one above it, that has a licence file.
@@ -211,7 +304,7 @@ def scan_licences(files: DataFrame, path: str | Column = "path", templates: tupl
     """
     spark = files.sparkSession
     where = F.regexp_replace(F.coalesce(F.col(path) if isinstance(path, str) else path, F.lit("")), "^/+|/+$", "")
-    model = spark.sparkContext.broadcast(fit_templates(files, templates))  # as large as the templates
+    model = spark.sparkContext.broadcast(fit_templates(files, templates, texts))  # as large as the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(model.value.vocabulary)

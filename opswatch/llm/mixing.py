@@ -54,6 +54,7 @@ def mix_documents(
     most: int = 2,
     seed: str = "mix",
     chunk_rows: int = CHUNK_ROWS,
+    row_key: str | None = None,
 ) -> DataFrame:
     """What a mix of ``share`` times all words takes of each document.
 
@@ -64,7 +65,8 @@ def mix_documents(
     So each source gets its target within one document, and reruns agree.
 
     Null texts and texts without words have size 0 and give nothing; a null source is a source of its
-    own; equal rows are separate documents; an empty table gives no rows; other columns are ignored.
+    own; equal rows are separate documents; an empty table gives no rows; other columns are ignored, but for
+    ``row_key``, a number of its own for each row, which comes back with it.
     A source's running sum is split into chunks of the hash, and the global order into ranges of
     finish time, both by row count: no task orders a whole source or the whole mix.
     """
@@ -75,9 +77,10 @@ def mix_documents(
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.cast("long").alias("_key"),
-            F.monotonically_increasing_id().alias("_uid"),
+            (F.monotonically_increasing_id() if row_key is None else F.col(row_key)).alias("_uid"),
         )
     )
+    key_of_row = [] if row_key is None else [F.col("_uid").alias(row_key)]
     rows = sized.count()
     chunks = max(1, -(-rows // chunk_rows))
     targets = cut_lineage(source_targets(sized, weights, share, most))
@@ -105,7 +108,7 @@ def mix_documents(
     served = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     last = totals.withColumn("_upto", F.sum("_words").over(served)).where("_upto >= _budget").orderBy("_range").first()
     if last is None:  # no words at all
-        return placed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *key_of_row)
     at, left = last["_range"], last["_budget"] - (last["_upto"] - last["_words"])
     order = Window.orderBy("_finish", "sid", "_key", "doc_id", "_copy", "_uid").rowsBetween(Window.unboundedPreceding, 0)
     through = F.sum("size").over(order)
@@ -121,7 +124,7 @@ def mix_documents(
     )
     mixed = join_counted(placed, parts, ["_uid"], "left")
     taken = F.when(F.col("size") > 0, whole + F.coalesce("_part", F.lit(0))).otherwise(F.lit(0))
-    return mixed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *key_of_row)
 
 
 MIXING_SQL = r"""

@@ -238,7 +238,7 @@ def test_wrapped_and_embedded_notices(spark, make_docs):
     mit, gpl, bsd = TEMPLATES[6][1], TEMPLATES[9][1], TEMPLATES[15][1]
     wrap = lambda t, mark, n=70: "\n".join(textwrap.wrap(t, n, initial_indent=mark, subsequent_indent=mark))
     code = "\ndef run(values):\n    return [v + 1 for v in values]\n" * 60
-    near = " ".join(w for i, w in enumerate(gpl.split()) if i % 3) + " see elsewhere now here some more words of ours besides them all"
+    near = " ".join(w for i, w in enumerate(gpl.split()) if i % 3 or w == "3") + " see elsewhere now here some more words of ours besides them all"
     files = [
         (1, "a/LICENSE", "Copyright 2020 Some Body\n\n" + wrap(mit, "") + ", including the rights\nto use" + code), (2, "a/x.py", "nothing"),
         (3, "b/COPYING", wrap(gpl, "# ") + "\n" + code), (4, "b/x.py", "nothing"), (5, "c/x.py", wrap(bsd, " * ", 45) + code),
