@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opswatch.llm.common import join_counted, table
+from opswatch.llm.common import join_counted, keyed_rows, table
 from opswatch.llm.exact_dedup import drop_exact_duplicates
 from opswatch.llm.mixing import mix_documents
 from opswatch.llm.ngram_join import similar_components
@@ -31,27 +31,34 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a Jaccard similarity of 0.8 of 5-word shingles the one with the smallest id.
+    """Of rows connected by a Jaccard similarity of 0.8 of 5-word shingles the one with the smallest id.
 
-    Documents without words or without an id are connected to nothing and stay.
+    Rows without words or without an id are connected to nothing and stay. Each row is compared by its own text, so rows that share an
+    id with another text are judged apart; of equal rows the first stays.
     """
     ship_package(spark)
-    groups = similar_components(docs)
-    gone = cut_lineage(groups.where("component_id <> doc_id").select("doc_id"))
-    return join_counted(docs, gone, ["doc_id"], "left_anti", 16).select(docs.columns)
+    rows = keyed_rows(docs)
+    known = rows.where("row.doc_id is not null")
+    groups = cut_lineage(similar_components(known.select(F.col("key").alias("doc_id"), "row.text")))
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id")
+    ids = known.select("key", F.col("row.doc_id").alias("id"))
+    # only components of several rows have anything to lose
+    several = cut_lineage(groups.groupBy("component_id").count().where("count > 1").select("component_id"))
+    members = join_counted(groups, several, ["component_id"], "left_semi", 16).join(ids, "key")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    gone = cut_lineage(members.join(stays, "component_id").where("key <> first.key").select("key"))
+    return join_counted(rows, gone, ["key"], "left_anti", 16).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole: not at all, once or twice.
-
-    Documents without words are not taken. Rows that share an id are taken as often as the one taken most.
-    """
+    """Each row as often as the mix takes it whole: not at all, once or twice. Rows without words are not taken."""
     ship_package(spark)
-    times = F.floor(F.col("taken") / F.col("size"))
-    taken = mix_documents(docs).where("size > 0").groupBy("doc_id").agg(F.max(times).cast("int").alias("_times"))
-    taken = cut_lineage(taken.where("_times > 0").withColumnRenamed("doc_id", "_id"))
-    joined = join_counted(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), taken, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", 24)
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    rows = keyed_rows(docs)
+    taken = mix_documents(rows.select("key", "row.doc_id", "row.text", "row.source"), row_key="key").where("size > 0")
+    times = taken.select("key", F.floor(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    times = cut_lineage(times.where("times > 0"))
+    joined = join_counted(rows, times, ["key"], "inner", 24)
+    return joined.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
