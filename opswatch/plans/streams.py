@@ -22,7 +22,7 @@ from opswatch.plans.timing import ORACLES as TIMING_SQL
 from opswatch.plans.vectors import encode_sql, network_sql, tier_sql, written_network
 from opswatch.session import ensure_checkpoint_dir
 from opswatch.sources import read_structured, start_sink
-from opswatch.streaming.alerts import alert_transitions, anomaly_sessions, counter_growth
+from opswatch.streaming.alerts import alert_transitions, anomaly_sessions, counter_growth, first_detections
 from opswatch.streaming.collect import collect_until
 from opswatch.streaming.scoring import read_anomalies, score_stream
 
@@ -231,6 +231,24 @@ def stream_counter_alerts(spark, sf_dir):
     return found.select("series", micros(F.col("ts")).alias("ts_us"), "state")
 
 
+def stream_first_detection(spark, sf_dir):
+    """The first error of a user after each signup, from two streams."""
+
+    def detections(marks: DataFrame) -> DataFrame:
+        rows = _event_stream(spark, sf_dir, maxFilesPerTrigger="1")
+        errors = rows.where("event_type = 'error'").select("user_id", "ts").unionByName(marks)
+        signups = _event_stream(spark, sf_dir, maxFilesPerTrigger="1").where("event_type = 'signup'")
+        injections = signups.select("user_id", F.col("ts").alias("injected_at"))
+        return first_detections(errors, injections, ["user_id"], horizon="4000 day", late=_NEVER_LATE)
+
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
+    path = _run_closed(spark, detections, f"user_id long, ts {kind}", f"-1L AS user_id, TIMESTAMP'{_END}' AS ts")
+    found = spark.read.parquet(path)
+    return found.select(
+        "user_id", micros(F.col("injected_at")).alias("injected_us"), micros(F.col("detected_at")).alias("detected_us")
+    )
+
+
 QUERIES = {
     "stream_structured": stream_structured,
     "stream_semantic": stream_semantic,
@@ -240,6 +258,7 @@ QUERIES = {
     "stream_scores": stream_scores,
     "stream_counters": stream_counters,
     "stream_counter_alerts": stream_counter_alerts,
+    "stream_first_detection": stream_first_detection,
 }
 
 
@@ -279,6 +298,7 @@ SELECT event_id, source_type, semantic_text, {tier_sql(_THRESHOLD)} AS predictio
        {_THRESHOLD}::DOUBLE AS threshold
 FROM e JOIN texts USING (event_id) WHERE mse / {_THRESHOLD} > 1""",
     "stream_counters": TIMING_SQL["counter_on_grid"],
+    "stream_first_detection": TIMING_SQL["first_detection"],
     "stream_counter_alerts": f"""WITH {SQL_EVENTS},
 {_grid_sql("1", "true")},
 cond AS (SELECT event_type || '/' || instance AS series, t, increase > 0 AS holds FROM g1),

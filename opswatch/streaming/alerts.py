@@ -296,6 +296,71 @@ def anomaly_sessions(
     )
 
 
+def first_detections(
+    anomalies: DataFrame,
+    injections: DataFrame,
+    keys: Sequence[str],
+    ts: str = "ts",
+    injected: str = "injected_at",
+    horizon: str = "1 hour",
+    late: str = "30 seconds",
+) -> DataFrame:
+    """Streams of injections and anomalies to each injection with the earliest anomaly at or after it.
+
+    The rows are those of ``first_detection``, but that an injection without an anomaly within ``horizon`` of it is given up and comes
+    out with null. An injection comes out once the watermark has passed its first anomaly (or the horizon), so
+    the result does not depend on how rows come in batches. State per key is the injections that still wait and the rows
+    the watermark has not passed; anomalies that it has passed are forgotten.
+    """
+    names = list(keys)
+    reach = F.expr(f"CAST(INTERVAL '{horizon.split()[0]}' {horizon.split()[1]} AS INTERVAL DAY TO SECOND)")
+    asked = injections.select(*names, F.col(injected).cast("timestamp").alias("__instant"), F.lit(0).alias("__role"))
+    seen = anomalies.select(*names, F.col(ts).cast("timestamp").alias("__instant"), F.lit(1).alias("__role"))
+    rows = asked.unionByName(seen).withWatermark("__instant", late)
+    # the horizon in microseconds goes along, so that intervals are Spark's to read
+    at = micros(F.col("__instant"))
+    rows = rows.select(*names, "__instant", at.alias("__at"), "__role", (micros(F.col("__instant") + reach) - at).alias("__reach"))
+    fields = [rows.schema[n] for n in names]
+    out = T.StructType([*fields, T.StructField("__injected", T.LongType()), T.StructField("__detected", T.LongType())])
+    kept = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("__open", "__upto", "__waiting")])
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, upto, waiting = map(np.array, state.get) if state.exists else ([], [], [])
+        opened, upto, waiting = [opened], [upto], [waiting]
+        if not state.hasTimedOut:
+            for part in batches:
+                role, times = part["__role"].to_numpy(), part["__at"].to_numpy(np.int64)
+                opened.append(times[role == 0])
+                upto.append((part["__at"] + part["__reach"]).to_numpy(np.int64)[role == 0])
+                waiting.append(times[role == 1])
+        opened, upto, waiting = (np.concatenate(x).astype(np.int64) for x in (opened, upto, waiting))
+        passed, waiting = state.getCurrentWatermarkMs() * 1000, np.sort(waiting)
+        ready = waiting[waiting < passed]
+        place = np.searchsorted(ready, opened)
+        first = np.append(ready, np.iinfo(np.int64).max)[place]
+        found = (opened < passed) & (first <= upto)
+        over = found | (upto < passed)
+        still, later = opened[~over], waiting[waiting >= passed]
+        if len(still) or len(later):
+            state.update((still.tolist(), upto[~over].tolist(), later.tolist()))
+            timers = [*later[:1].tolist(), *np.sort(upto[~over])[:1].tolist()]
+            state.setTimeoutTimestamp(max(min(timers) // 1000, passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if over.any():
+            detected = pd.array(np.where(found, first, 0)[over], "Int64")
+            detected[~found[over]] = pd.NA
+            result = pd.DataFrame({"__injected": opened[over], "__detected": detected})
+            for i, n in enumerate(names):
+                result.insert(i, n, key[i])
+            yield result
+
+    merged = rows.groupBy(*names).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return merged.select(
+        *names, from_micros(F.col("__injected")).alias(injected), from_micros(F.col("__detected")).alias("detected_at")
+    )
+
+
 def _summed(total: pa.Table | None, more: pa.Table, by: list[str]) -> pa.Table:
     """Cells of both tables, each once."""
     both = more if total is None else pa.concat_tables([total, more])
