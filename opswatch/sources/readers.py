@@ -29,8 +29,10 @@ def read_events_stream(
     return stream.select(F.col("value").cast("string").alias("json_str"))
 
 
-def _good_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+def _good_rows(df: DataFrame, column: str) -> DataFrame:
+    """Rows that are JSON objects. Spark reads no file for the corrupt column alone (as a count would), so a ``column`` is read too."""
+    read = ~F.isnan(F.hash(column).cast("double"))  # true of every row
+    return df.where(F.col(_CORRUPT).isNull() & read).drop(_CORRUPT)
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
@@ -40,7 +42,7 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON-lines files without the lines that are not JSON objects of the schema."""
     reader = spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE")
-    return _good_rows(reader.option("columnNameOfCorruptRecord", _CORRUPT).json(path))
+    return _good_rows(reader.option("columnNameOfCorruptRecord", _CORRUPT).json(path), schema[0].name)
 
 
 def read_jsonl_stream(
@@ -49,7 +51,7 @@ def read_jsonl_stream(
     """A directory of JSON-lines files as a stream; each file is read once per checkpoint."""
     reader = spark.readStream.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE")
     reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).options(**options)
-    return _good_rows(reader.json(path))
+    return _good_rows(reader.json(path), schema[0].name)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +66,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("line"),
             ).alias("ord"),
-        )
+        ),
+        schemas.CATALOG[0].name,
     )
 
 

@@ -161,6 +161,7 @@ def test_files(spark, tmp_path):
     log = tmp_path / "feedback.jsonl"
     log.write_text('{"timestamp": "t", "mse": 1.5, "feedback_label": "true"}\nbad line\n\n{"mse": 2}\n')
     assert rows(sources.read_jsonl(spark, str(log), schemas.FEEDBACK), "mse") == [(1.5,), (2.0,)]
+    assert sources.read_jsonl(spark, str(log), schemas.FEEDBACK).count() == 2
     names = ["z", "a", "m"]
     (tmp_path / "c.jsonl").write_text("".join(json.dumps({"service_name": n}) + "\n" for n in names) + "{oops\n")
     found = sources.read_catalog(spark, str(tmp_path / "c.jsonl")).orderBy("ord")
