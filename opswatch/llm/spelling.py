@@ -75,9 +75,10 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     coded = words.select("word", "n", reduced("word", symbols).alias("code"))
     codes = cut_lineage(coded.select("code").distinct())
     places = codes.select("code", F.explode(F.sequence(F.lit(1), F.length("code") + 1)).alias("at"))
-    around = places.select("code", F.explode(neighbourhood("code", symbols)).alias("near_code")).distinct()
+    around = places.select("code", F.explode(neighbourhood("code", symbols)).alias("near_code"))
     known = codes.select(F.col("code").alias("near_code"))
-    pairs = cut_lineage(around.join(known, "near_code"))
+    # a pair that comes up at several places is made one after the join, where few are left
+    pairs = cut_lineage(around.join(known, "near_code").distinct())
     others = coded.select(F.col("code").alias("near_code"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     candidates = coded.join(pairs, "code").join(others, "near_code")
     # the limit of 1 keeps the comparison at one band of the table of distances
