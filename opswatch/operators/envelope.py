@@ -43,13 +43,19 @@ _FLAT_NAMES = _INNER[schemas.FLAT_SOURCE]
 _OWNERS = {n: [source for source, names in _INNER.items() if n in names] for n in _INNER_NAMES}
 
 
-def _with_fields(envelope: DataFrame, last: bool = False) -> DataFrame:
+def _with_fields(envelope: DataFrame, last: bool = False, only: str | None = None) -> DataFrame:
     """The fields of the message as ``m_…`` and those beside the envelope as ``f_…``.
 
     Of a repeated key the first value counts, or the ``last`` one. A text is parsed once for all fields, and only where
-    its source has fields; where a key may be there twice, its first value is looked up by path.
+    its source has fields; where a key may be there twice, its first value is looked up by path. With ``only``
+    there are just the fields of that source.
     """
     source = F.col("source_type")
+    inner_of = {o: names for o, names in _INNER.items() if only in (None, o)}
+    inner_names = sorted({n for names in inner_of.values() for n in names})
+    flat_names = _FLAT_NAMES if schemas.FLAT_SOURCE in inner_of else []
+    if not inner_names:
+        return envelope
     if last:
         inner = F.when(source != schemas.TEXT_SOURCE, F.col("message"))
         flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
@@ -60,23 +66,23 @@ def _with_fields(envelope: DataFrame, last: bool = False) -> DataFrame:
             "*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"f_{n}" for n in _FLAT_NAMES])
         )
 
-    own = F.when(source.isin([s for s, names in _INNER.items() if names]), F.col("message"))
-    flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
-    inside = [f"__m_{n}" for n in _INNER_NAMES]
-    parsed = envelope.select("*", F.json_tuple(own, *_INNER_NAMES).alias(*inside))
-    parsed = parsed.select("*", F.json_tuple(flat, *_FLAT_NAMES).alias(*[f"__f_{n}" for n in _FLAT_NAMES]))
-    owners = [f"WHEN source_type = '{o}' THEN {_may_repeat('message', names)}" for o, names in _INNER.items() if names]
-    repeated = f"CASE {' '.join(owners)} ELSE false END AS __repeated"
-    beside = f"(source_type = '{schemas.FLAT_SOURCE}' AND ({_may_repeat('json_str', _FLAT_NAMES)})) AS __beside"
-    parsed = parsed.select("*", F.expr(repeated), F.expr(beside))
+    own = F.when(source.isin([o for o, names in inner_of.items() if names]), F.col("message"))
+    parsed = envelope.select("*", F.json_tuple(own, *inner_names).alias(*[f"__m_{n}" for n in inner_names]))
+    owners = [f"WHEN source_type = '{o}' THEN {_may_repeat('message', names)}" for o, names in inner_of.items() if names]
+    parsed = parsed.select("*", F.expr(f"CASE {' '.join(owners)} ELSE false END AS __repeated"))
+    if flat_names:
+        flat = F.when(source == schemas.FLAT_SOURCE, F.col("json_str"))
+        parsed = parsed.select("*", F.json_tuple(flat, *flat_names).alias(*[f"__f_{n}" for n in flat_names]))
+        beside = f"(source_type = '{schemas.FLAT_SOURCE}' AND ({_may_repeat('json_str', flat_names)})) AS __beside"
+        parsed = parsed.select("*", F.expr(beside))
 
     def field(text: str, kind: str, name: str, owners: list[str], repeated: str) -> Column:
         path = f"CASE WHEN {repeated} THEN get_json_object({text}, '$.{name}') ELSE __{kind}_{name} END"
         names = ", ".join(f"'{o}'" for o in owners)
         return F.expr(f"CASE WHEN source_type IN ({names}) THEN {path} END AS {kind}_{name}")
 
-    message = [field("message", "m", n, _OWNERS[n], "__repeated") for n in _INNER_NAMES]
-    flats = [field("json_str", "f", n, [schemas.FLAT_SOURCE], "__beside") for n in _FLAT_NAMES]
+    message = [field("message", "m", n, _OWNERS[n], "__repeated") for n in inner_names]
+    flats = [field("json_str", "f", n, [schemas.FLAT_SOURCE], "__beside") for n in flat_names]
     return parsed.select(*envelope.columns, *message, *flats)
 
 
@@ -113,7 +119,7 @@ def source_rows(envelope: DataFrame, source: str) -> DataFrame:
     """One source's rows with only its own columns."""
     own = [e.alias(c) for c, (owner, e) in _columns().items() if owner == source]
     rows = envelope.where(F.col("source_type") == source)
-    return _with_fields(rows).select("source_type", *own)
+    return _with_fields(rows, only=source).select("source_type", *own)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
