@@ -20,7 +20,7 @@ from opswatch.llm.sharding import SHARDING_SQL, shard_documents
 from opswatch.llm.spelling import SPELLING_SQL, count_words, spelling_variants
 from opswatch.llm.toxicity import fit_chain, score_toxicity
 from opswatch.llm.vector_search import nearest_neighbours
-from opswatch.session import cut_lineage
+from opswatch.session import cut_lineage, spread
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alignment of two public tokenizers over every text."""
-    return aligned_documents(table(spark, sf_dir, "documents"), load_vocabularies())
+    return aligned_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), load_vocabularies())
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids under a public byte-level vocabulary, and the bytes that they decode to, as digests."""
-    return encoding_digests(table(spark, sf_dir, "documents"), load_bpe())
+    return encoding_digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), load_bpe())
 
 
 QUERIES = {
