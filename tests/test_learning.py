@@ -315,6 +315,45 @@ def test_sums_reduce_to_what_the_driver_can_hold(spark, monkeypatch):
         assert ps.partition_sums(data, work, size=2).tolist() == [1000.0, 40.0]
 
 
+def test_long_sums_reach_the_driver_once(spark, monkeypatch):
+    """Of vectors as long as a network's weights only the sum is collected, whatever the number of tasks."""
+    from opswatch.operators import partition_sums as ps
+
+    size, taken = 150_000, []
+
+    def work(batches):
+        return np.arange(size, dtype=np.float64) + sum(b.num_rows for b in batches)
+
+    def counted(df):
+        rows = collect(df)
+        taken.append(sum(len(r["v"]) for r in rows))
+        return rows
+
+    data = spark.range(1000).repartition(40)
+    collect = type(data).collect
+    monkeypatch.setattr(type(data), "collect", counted)
+    found = ps.partition_sums(data, work, size)
+    assert found.tolist() == (np.arange(size) * 40.0 + 1000).tolist()
+    assert sum(taken) == 8 * size
+    assert ps.partition_sums(spark.range(0), lambda batches: None, size) is None
+
+
+def test_adam_in_parts(monkeypatch):
+    """Updates of some rows at a time are those of all rows."""
+    from opswatch.operators import autoencoder
+
+    rng, found = np.random.default_rng(7), []
+    gradients = rng.normal(size=(3, 50, 2))
+    for rows in (7, 1000):
+        monkeypatch.setattr(autoencoder, "_STEP_ROWS", rows)
+        adam, w = autoencoder.Adam(0, 0.1), np.ones((50, 2))
+        adam.m, adam.v = np.zeros((50, 2)), np.zeros((50, 2))
+        for g in gradients:
+            w = adam.step(w, g)
+        found.append(w)
+    assert found[0].tolist() == found[1].tolist()
+
+
 def test_a_step_per_batch_in_order(spark, monkeypatch):
     """Runs of steps that tasks take one after another are the steps of one job each."""
     from opswatch.operators import projection
