@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -155,3 +156,32 @@ def test_vectors(spark):
     pair = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in pair.select(fn.cosine(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([0.96, 0.0])
+
+
+def test_a_text_is_encoded_once(spark):
+    """Filters derived from the vectors, as in ``posexplode``, do not encode again; nor do filters on what follows from them."""
+    from opswatch.operators.autoencoder import initial
+    from opswatch.operators.encode import encode
+    from opswatch.operators.scoring import score_vectors
+
+    df = spark.createDataFrame([(1, "abc"), (2, "defg"), (3, None)], "id long, text string")
+    vectors = encode(df, "text", dim=8)
+    one = vectors.select("id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
+    model = initial(8, 2)
+    model.threshold = 1e-9
+    two = score_vectors(vectors, model).where("prediction like '%anomaly'").select("id", "mse")
+    for found, stages in ((one, 1), (two, 2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == stages
+    assert {r["id"] for r in one.collect()} == {1, 2} == {r["id"] for r in two.collect()}
+
+
+def test_encoding_cuts_batches():
+    from opswatch.operators import encode as e
+
+    lengths = np.array([3, 0, e._CHARACTERS * 2, 5] + [1] * (2 * e._TEXTS))
+    cuts = list(e._slices(lengths))
+    assert [i for c in cuts for i in range(c.start, c.stop)] == list(range(len(lengths)))
+    assert all(c.stop - c.start <= e._TEXTS for c in cuts)
+    assert all(c.stop - c.start == 1 or lengths[c].sum() <= e._CHARACTERS for c in cuts)
+    assert list(e._slices(np.zeros(0, np.int64))) == []
