@@ -185,3 +185,21 @@ def test_encoding_cuts_batches():
     assert all(c.stop - c.start <= e._TEXTS for c in cuts)
     assert all(c.stop - c.start == 1 or lengths[c].sum() <= e._CHARACTERS for c in cuts)
     assert list(e._slices(np.zeros(0, np.int64))) == []
+
+
+def test_plugged_in_encoder_gets_parts_of_a_batch(spark):
+    """Its vectors hold the number of texts that it was given; some texts have none, some are of another length."""
+    from opswatch.operators.encode import encode
+
+    class Counting:
+        def encode(self, texts):
+            if len(texts) > 1 and "bad" in texts:
+                raise ValueError("bad")
+            return [[] if t in (None, "bad") else [float(len(texts)), 1.0][: 1 if t == "short" else 2] for t in texts]
+
+    texts = ["short", None, *["x"] * 3000, "bad"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    found = [r["embedding"] for r in encode(df, "text", encoder=lambda: Counting()).orderBy("id").collect()]
+    assert [len(v) for v in found] == [1, 0, *[2] * 3000, 0]
+    assert max(v[0] for v in found if v) <= 1024
+    assert found[0] == [1024.0] and found[1500] == [1024.0, 1.0]
