@@ -27,6 +27,10 @@ from opswatch.streaming.collect import collect_until
 from opswatch.streaming.scoring import read_anomalies, score_stream
 
 _ONCE = {"availableNow": True}
+#: Bytes of files in one batch: a batch takes seconds to plan and commit, so batches follow the bytes and not the number of files.
+_BATCH_BYTES = str(128 << 20)
+#: Batches in which a table written by a stream is read as the next one.
+_BATCHES = 4
 
 
 def _folder(spark: SparkSession) -> str:
@@ -116,12 +120,15 @@ def stream_labelled(spark, sf_dir):
 
 
 def stream_alerts(spark, sf_dir):
-    """Alert changes of an hourly grid, kept as state per event type; both streams come in several batches."""
+    """Alert changes of an hourly grid, kept as state per event type; both streams come in several batches.
+
+    A series waits as a whole for the end of the grid and is handed from batch to batch, so the grid's batches are few at any size.
+    """
     width = 3_600_000_000
 
     def grid(marks: DataFrame) -> DataFrame:
         hour = F.ceil(micros(F.col("ts")) / F.lit(width)).cast("bigint") * width
-        events = _event_stream(spark, sf_dir, maxFilesPerTrigger="1")
+        events = _event_stream(spark, sf_dir, maxBytesPerTrigger=_BATCH_BYTES)
         rows = events.select("event_type", F.timestamp_micros(hour).alias("at"), "ts", "value")
         timed = rows.unionByName(marks).withWatermark("at", _NEVER_LATE)
         return timed.groupBy("event_type", "at").agg(F.max_by("value", "ts").alias("value"))
@@ -129,11 +136,12 @@ def stream_alerts(spark, sf_dir):
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
     end = f"'' AS event_type, TIMESTAMP'{_END}' AS at, TIMESTAMP'{_END}' AS ts, 0D AS value"
     path = _run_closed(spark, grid, f"event_type string, at timestamp, ts {kind}, value double", end)
+    files = len(spark.read.parquet(path).inputFiles())
 
     def changes(marks: DataFrame) -> DataFrame:
         # The grid is complete before it is read as the stream of evaluations.
         stream = spark.readStream.schema("event_type string, at timestamp, value double")
-        instants = stream.option("maxFilesPerTrigger", 4).parquet(path).unionByName(marks)
+        instants = stream.option("maxFilesPerTrigger", max(4, -(-files // _BATCHES))).parquet(path).unionByName(marks)
         return alert_transitions(
             instants,
             F.col("value") > 20,
@@ -157,7 +165,7 @@ def stream_sessions(spark, sf_dir):
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
 
     def sessions(marks: DataFrame) -> DataFrame:
-        events = _event_stream(spark, sf_dir, maxFilesPerTrigger="1")
+        events = _event_stream(spark, sf_dir, maxBytesPerTrigger=_BATCH_BYTES)
         errors = events.where(F.col("event_type") == "error").select("ts")
         return anomaly_sessions(errors.unionByName(marks), gap=1800, grace=5, late=_NEVER_LATE)
 
@@ -195,7 +203,7 @@ def _counters(spark, sf_dir) -> str:
     schema = f"event_type string, instance long, ts {kind}, value double, k int"
 
     def grown(marks: DataFrame) -> DataFrame:
-        samples = counter_samples(_event_stream(spark, sf_dir, maxFilesPerTrigger="1"))
+        samples = counter_samples(_event_stream(spark, sf_dir, maxBytesPerTrigger=_BATCH_BYTES))
         return counter_growth(
             samples.unionByName(marks), ["event_type", "instance"], late=_NEVER_LATE, **GRID
         )
@@ -235,9 +243,9 @@ def stream_first_detection(spark, sf_dir):
     """The first error of a user after each signup, from two streams."""
 
     def detections(marks: DataFrame) -> DataFrame:
-        rows = _event_stream(spark, sf_dir, maxFilesPerTrigger="1")
+        rows = _event_stream(spark, sf_dir, maxBytesPerTrigger=_BATCH_BYTES)
         errors = rows.where("event_type = 'error'").select("user_id", "ts").unionByName(marks)
-        signups = _event_stream(spark, sf_dir, maxFilesPerTrigger="1").where("event_type = 'signup'")
+        signups = _event_stream(spark, sf_dir, maxBytesPerTrigger=_BATCH_BYTES).where("event_type = 'signup'")
         injections = signups.select("user_id", F.col("ts").alias("injected_at"))
         return first_detections(errors, injections, ["user_id"], horizon="4000 day", late=_NEVER_LATE)
 
