@@ -266,6 +266,34 @@ def log(i):
     )
 
 
+def counting_encoder():
+    class Counting:
+        """Vectors of four numbers; none for a null text, and one of another length for some."""
+
+        def encode(self, texts):
+            return [np.array([len(t), t.count("a"), t.count("b"), 1.0] + [0.0] * (t == "odd")) for t in texts]
+
+    return Counting
+
+
+def test_texts_train_as_their_vectors_do(spark, monkeypatch):
+    data = [(i, None if i % 50 == 7 else "odd" if i % 50 == 9 else f"text {i * 7919 % 97} " + "ab" * (i % 5)) for i in range(700)]
+    df = spark.createDataFrame([*data, (1000, "text 1"), (1000, "text 1"), (None, "text 2")], "id long, t string").repartition(5)
+    written = []
+    monkeypatch.setattr(ae, "cut_lineage", lambda rows: written.append(dict(rows.dtypes)) or cut_lineage(rows))
+    for encoder, dim in ((None, 32), (counting_encoder(), 4)):
+        settings = {"id_col": "id", "hidden": 3, "epochs": 3, "batch_size": 64, "shards": 3}
+        want, losses = ae.fit_autoencoder(encode(df, "t", "embedding", encoder, dim), **settings)
+        written.clear()
+        found, history = ae.fit_autoencoder(df, text="t", encoder=encoder, encoded_dim=dim, **settings)
+        assert len(written) > 1 and not any(t.startswith("array") for names in written for t in names.values())
+        assert history == losses and found.threshold == pytest.approx(want.threshold, rel=1e-12)
+        assert np.allclose(found.flat(), want.flat(), rtol=0, atol=1e-12) and np.allclose(found.mean, want.mean)
+    settings = {"mode": "fullbatch", "id_col": "id", "hidden": 3, "epochs": 2}
+    whole = ae.fit_autoencoder(df, text="t", encoded_dim=32, **settings)[1]
+    assert whole == ae.fit_autoencoder(encode(df, "t", "embedding", None, 32), **settings)[1]
+
+
 def test_detectors_end_to_end(spark):
     source = spark.createDataFrame([(log(i), int(i % 10 == 0)) for i in range(200)], "json_str string, label int")
     routed = route_structured(parse_envelope(source))
