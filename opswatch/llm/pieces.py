@@ -19,6 +19,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Bytes of text whose words are segmented together; a longer text is taken alone and whole.
 _BYTES = 1 << 19
+#: Ids that are decoded together; a longer list is taken alone and whole.
+_IDS = 1 << 17
 _SPACE_MARK = "▁"  # fixed value: SentencePiece's mark of a space
 
 
@@ -90,7 +92,7 @@ class _Trie:
         self.child = np.zeros(len(piece) * width, small)
         self.child[np.fromiter(child.keys(), np.int64, len(child))] = np.fromiter(child.values(), small, len(child))
         self.piece = np.array(piece, np.int32)
-        self.width = width
+        self.width, self.longest = width, max(map(len, pieces.strings), default=1)
         self.log_prob, self.byte_log_prob = pieces.log_prob
         # words are cut where no piece reaches across
         crossing = any(b" " in s.lstrip(b" ") for s in pieces.strings)
@@ -114,8 +116,10 @@ class Lattice:
         lengths = np.array([len(w) for w in words], np.int64)
         self.end = np.cumsum(lengths)
         self.start = self.end - lengths
-        stop = np.repeat(self.end, lengths)
-        first = np.flatnonzero((data & 0xC0) != 0x80)
+        # most of the time goes into moving these arrays: places and edges are 32-bit numbers where they fit
+        index = np.int32 if len(data) * (trie.longest + 2) < 1 << 31 else np.int64
+        first = np.flatnonzero((data & 0xC0) != 0x80).astype(index)
+        stop = np.repeat(self.end.astype(index), lengths)
         width = np.diff(first, append=len(data))  # bytes of each character
         kinds = trie.kind[data]
         pos, node, depth = first, np.zeros(len(first), np.int64), 0
@@ -147,7 +151,7 @@ class Lattice:
         self.first = np.concatenate([[0], np.cumsum(degree)])  # edges of a place: first[p] to first[p + 1]
         free = self.first[:-1].copy()
         many = int(self.first[-1])
-        self.begin, self.edge_end, self.label = np.empty(many, np.int64), np.empty(many, np.int64), np.empty(many, np.int64)
+        self.begin, self.edge_end, self.label = np.empty(many, index), np.empty(many, index), np.empty(many, np.int32)
         for pos, end, label in zip(begins, ends, labels, strict=True):
             at = free[pos]
             self.begin[at], self.edge_end[at], self.label[at] = pos, end, label
@@ -360,7 +364,20 @@ def decode_bytes(ids: np.ndarray, pieces: Pieces) -> bytes:
     return b"".join([strings[i] for i in ids.tolist()])[1:]
 
 
+def decode_lists(ids: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> pa.Array:
+    """``decode_bytes`` of many lists: list i is ``ids[offsets[i] : offsets[i + 1]]``."""
+    data, start, size = _joined(pieces)
+    begin, count = start[ids], size[ids]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begin[heads] += 1  # the space before each text
+    count[heads] -= 1
+    upto = np.append(0, np.cumsum(count))[offsets]
+    text = data[_ranges(begin, count)]
+    return pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(text)])
+
+
 _DECODERS: dict[int, list[bytes]] = {}
+_JOINED: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def _strings(pieces: Pieces) -> list[bytes]:
@@ -375,6 +392,16 @@ def _strings(pieces: Pieces) -> list[bytes]:
     return _DECODERS[key]
 
 
+def _joined(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, where each id's begin, and how many they are."""
+    key = hash((pieces.ids, pieces.byte_ids))
+    if key not in _JOINED:
+        table = _strings(pieces)
+        size = np.array([len(s) for s in table], np.int64)
+        _JOINED[key] = np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size
+    return _JOINED[key]
+
+
 ENCODED = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double, text_crc32 long"
 
 
@@ -412,7 +439,7 @@ def encode_samples(docs: DataFrame, pieces: Pieces, k: int = SAMPLES, seed: int
                 )
                 at = to
                 del found, rows, doc, rank, part, lp, g, q, crc, lists
-                release()
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ENCODED)
 
@@ -422,8 +449,13 @@ def decode(ids: str | Column, spark: SparkSession, pieces: Pieces) -> Column:
     held = spark.sparkContext.broadcast(pieces)
 
     def run(lists: pa.Array) -> pa.Array:
-        values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        return pa.array([decode_bytes(values[a:b], held.value) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+        values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        found, at = [pa.array([], pa.binary())], 0
+        while at < len(lists):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _IDS, "right")) - 1)
+            found.append(decode_lists(values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], held.value))
+            at = to
+        return pa.concat_arrays(found)
 
     run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "binary")(ids)

@@ -11,7 +11,7 @@ import corpus_pipeline
 from opswatch.llm.common import mix64, table as load
 from opswatch.llm.context_mixing import _WORDS, _answered, score_texts, with_contexts
 from opswatch.llm.licences import TEMPLATES, fit_templates, scan_licences
-from opswatch.llm.pieces import Pieces, decode, decode_bytes, encode_samples, load_pieces, sample_segmentations
+from opswatch.llm.pieces import Pieces, decode, decode_bytes, decode_lists, encode_samples, load_pieces, sample_segmentations
 from opswatch.llm.quality import FEATURES, LineModel, fit_quality, forward_backward, keep_quality, line_features, score_quality
 from opswatch.llm.toxicity import fit_chain, score_toxicity
 
@@ -147,6 +147,14 @@ def test_segmentations_are_drawn_without_replacement(text):
     assert weighed == pytest.approx(1.0, abs=0.05)  # inclusion probabilities make sums over samples unbiased
 
 
+def test_lists_decode_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    lists = [rng.choice([*TINY.ids, *TINY.byte_ids], n).astype(np.int32) for n in (0, 0, 7, 1, 0, 300, 2, 0)]
+    offsets = np.cumsum([0] + [len(x) for x in lists])
+    assert decode_lists(np.concatenate(lists), offsets, TINY).to_pylist() == [decode_bytes(x, TINY) for x in lists]
+    assert decode_lists(np.empty(0, np.int32), np.zeros(3, np.int64), TINY).to_pylist() == [b"", b""]
+
+
 def test_encoding_round_trip(spark, odd_docs):
     pieces = load_pieces()
     rows = encode_samples(odd_docs, pieces).withColumn("back", decode("ids", spark, pieces)).collect()
