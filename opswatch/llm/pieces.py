@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,25 +94,42 @@ class _Trie:
         self.width, self.longest = width, max(map(len, pieces.strings), default=1)
         self.log_prob, self.byte_log_prob = pieces.log_prob
         # words are cut where no piece reaches across
-        crossing = any(b" " in s.lstrip(b" ") for s in pieces.strings)
-        newline = any(b"\n" in s for s in pieces.strings)
-        self.words = re.compile(rb"(?s).+" if crossing else rb"(?s) *[^ ]+| +" if newline else rb" *[^ \n]+|\n| +")
-
-
-class _Codes(dict):
-    """Numbers of words, in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        return code
+        self.crossing = any(b" " in s.lstrip(b" ") for s in pieces.strings)
+        self.newline = any(b"\n" in s for s in pieces.strings)
+
+    def words(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words of texts with a space before each, in the order of their first use; all words as their numbers, and each text's count.
+
+        A word is its spaces and what follows up to the next space. Unless a piece holds one, a newline is a word, and spaces before it are another.
+        """
+        joined = b" " + b" ".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        heads = np.cumsum(size) - size
+        begins = np.zeros(len(data), bool)
+        if not self.crossing:
+            space = data == 32
+            begins[1:] = space[1:] & ~space[:-1]
+            if not self.newline:
+                newline = data == 10
+                begins |= newline
+                begins[1:] |= newline[:-1]
+        begins[heads] = True
+        start = np.flatnonzero(begins)
+        offsets = np.append(start, len(data))
+        cut = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+        coded = cut.dictionary_encode()
+        counts = np.diff(np.searchsorted(start, heads), append=len(start))
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counts
 
 
 class Lattice:
     """All segmentations of distinct words, as edges in one array, with the sampling probability of each edge."""
 
-    def __init__(self, words: list[bytes], trie: _Trie):
-        data = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.array([len(w) for w in words], np.int64)
+    def __init__(self, words: pa.Array, trie: _Trie):
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]
+        lengths = np.diff(offsets)
         self.end = np.cumsum(lengths)
         self.start = self.end - lengths
         # most of the time goes into moving these arrays: places and edges are 32-bit numbers where they fit
@@ -157,20 +173,25 @@ class Lattice:
             self.begin[at], self.edge_end[at], self.label[at] = pos, end, label
             free[pos] += 1
         score = np.where(self.label >= 0, trie.log_prob[self.label], trie.byte_log_prob * (self.edge_end - self.begin))
-        inner = self.edge_end < stop[self.begin]
-        # from the words' ends to their starts: the log mass of everything that can follow a place
+        # from the words' ends to their starts: the log mass of everything that can follow a place; after the last place it stays 0
+        follow = np.where(self.edge_end < stop[self.begin], self.edge_end, index(len(data)))
         left = (stop - np.arange(len(data)))[first]
         far = int(left.max()) if len(left) else 0
         order = first[np.argsort(left.astype(np.uint16) if far < 1 << 16 else left, kind="stable")]
         cuts = np.append(0, np.cumsum(np.bincount(left, minlength=far + 1)))
+        sorted_degree = degree[order]
+        upto = np.append(0, np.cumsum(sorted_degree))
+        edges = _ranges(self.first[order], sorted_degree)
+        sorted_score, sorted_follow = score[edges], follow[edges]
+        del edges
         mass = np.zeros(len(data) + 1)
-        for n in range(1, far + 1):
-            at = order[cuts[n] : cuts[n + 1]]
-            if len(at):
-                edges = _ranges(self.first[at], degree[at])
-                value = score[edges] + np.where(inner[edges], mass[self.edge_end[edges]], 0.0)
-                mass[at] = np.logaddexp.reduceat(value, np.cumsum(degree[at]) - degree[at])
-        self.log_p = score + np.where(inner, mass[self.edge_end], 0.0) - mass[self.begin]
+        for a, b in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
+            if a < b:
+                some = slice(upto[a], upto[b])
+                value = sorted_score[some] + mass[sorted_follow[some]]
+                mass[order[a:b]] = np.logaddexp.reduceat(value, upto[a:b] - upto[a])
+        del sorted_score, sorted_follow
+        self.log_p = score + mass[follow] - mass[self.begin]
         self.prob = np.exp(self.log_p)
         running = np.concatenate([[0.0], np.cumsum(self.prob)])
         self.upto = running[1:] - running[self.first[self.begin]]
@@ -225,14 +246,8 @@ def sample_segmentations(texts: list[bytes], keys: np.ndarray, k: int, pieces: P
     step at once; a text with fewer segmentations gives fewer.
     """
     trie = _Trie.of(pieces)
-    codes = _Codes()
-    counts, word = [], []
-    for text in texts:
-        found = trie.words.findall(b" " + text)
-        counts.append(len(found))
-        word.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
-    lattice = Lattice(list(codes), trie)
-    word, counts = np.concatenate(word), np.array(counts, np.int64)
+    words, word, counts = trie.words(texts)
+    lattice = Lattice(words, trie)
     n = len(texts)
     word_begin = np.cumsum(counts) - counts
     keys = keys.astype(np.uint64)
@@ -257,13 +272,16 @@ def sample_segmentations(texts: list[bytes], keys: np.ndarray, k: int, pieces: P
         base = np.where(begin > 0, upto[begin - 1], 0.0)
         before = upto - log_p - np.repeat(base, steps)
         number = _ranges(np.zeros(len(docs), np.int64), steps)
-        with np.errstate(divide="ignore"):
-            beside = np.log1p(-np.minimum(lattice.prob[edges], 1.0))
+        # only where another edge begins, and not before ``own_from``, is there anything beside the way
         place = lattice.begin[edges]
-        beside[lattice.first[place + 1] - lattice.first[place] == 1] = -np.inf
-        u = uniform(mix64(np.repeat(keys[docs], steps) + np.uint64((nth + 1) << 32)) + number.astype(np.uint64))
-        v = _below(before + beside, np.repeat(value, steps), u)
-        v[number < np.repeat(own_from, steps)] = -np.inf
+        many = lattice.first[place + 1] - lattice.first[place] > 1
+        open_at = np.flatnonzero(many & (number >= np.repeat(own_from, steps)))
+        of = np.repeat(np.arange(len(docs)), steps)[open_at]
+        with np.errstate(divide="ignore"):
+            beside = np.log1p(-np.minimum(lattice.prob[edges[open_at]], 1.0))
+        u = uniform(mix64(keys[docs][of] + np.uint64((nth + 1) << 32)) + number[open_at].astype(np.uint64))
+        v = np.full(len(edges), -np.inf)
+        v[open_at] = _below(before[open_at] + beside, value[of], u)
         return before, v
 
     everyone = np.arange(n)

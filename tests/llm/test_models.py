@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import corpus_pipeline
 from opswatch.llm.common import mix64, table as load
 from opswatch.llm.context_mixing import _WORDS, _answered, score_texts, with_contexts
 from opswatch.llm.licences import TEMPLATES, fit_templates, scan_licences
-from opswatch.llm.pieces import Pieces, decode, decode_bytes, decode_lists, encode_samples, load_pieces, sample_segmentations
+from opswatch.llm.pieces import Pieces, _Trie, decode, decode_bytes, decode_lists, encode_samples, load_pieces, sample_segmentations
 from opswatch.llm.quality import FEATURES, LineModel, fit_quality, forward_backward, keep_quality, line_features, score_quality
 from opswatch.llm.toxicity import fit_chain, score_toxicity
 
@@ -166,6 +167,18 @@ def test_encoding_round_trip(spark, odd_docs):
     assert encode_samples(odd_docs.limit(0), pieces).count() == 0
 
 
+@pytest.mark.parametrize("extra,pattern", [([], rb" *[^ \n]+|\n| +"), ([b"a\n"], rb"(?s) *[^ ]+| +"), ([b"a b"], rb"(?s).+")])
+def test_words_of_many_texts_are_cut_and_numbered_at_once(extra, pattern):
+    strings = [b"a", b" b", b"\xc3\xa9", *extra]
+    trie = _Trie(Pieces(tuple(range(256, 256 + len(strings))), tuple(strings), tuple(range(256))))
+    texts = [b"", b"  ", b"a", b"a  b\n\n c ", b"\n", b" \n a", "\u00e9 \u00e9".encode(), b"a  b", b"x" * 300]
+    found = [re.findall(pattern, b" " + t) for t in texts]
+    words, coded, counts = trie.words(texts)
+    assert counts.tolist() == [len(f) for f in found]
+    assert [words[i].as_py() for i in coded.tolist()] == [w for f in found for w in f]
+    assert words.to_pylist() == list(dict.fromkeys(w for f in found for w in f))
+
+
 def test_licences(spark, make_docs):
     mit, gpl, apache = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", TEMPLATES[1][1]
     files = [
